@@ -5,7 +5,8 @@ their label, is the unlabelled mixture, so no text is ever taken for a confirmed
 With the class prior p, losses l and a linear score f the risk is
     p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]),
 and where the second part falls below zero (more fitting of the unlabelled than the prior
-allows) a step undoes it instead. The prior is the labelled share of toxic rows.
+allows) a step undoes it instead. The prior is the labelled share of toxic rows. The score is
+then moved so that 0.5 lies where the same risk with zero-one loss is least.
 
 Features are letter runs of the lower-cased text and their prefixes of 4 to 6 letters (word
 stems), present or not; the ``FEATURES`` most significant of those that positives hold at least
@@ -85,7 +86,21 @@ def fit_nnpu(rows: list[tuple[bool, bool, list[int]]], n_features: int, prior: f
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    return theta[:-1], float(theta[-1]) - threshold(np.bincount(owner, weights=theta[flat], minlength=len(rows)) + theta[-1], p, u, prior)
+
+
+def threshold(f: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """The score at which the prior-corrected risk of zero-one loss is least; of equal ones the middle of the widest gap."""
+    order = np.argsort(f, kind="stable")
+    f, p, u = f[order], p[order], u[order]
+    ends = np.flatnonzero(np.diff(f) > 1e-9)  # between two different scores
+    if not len(ends):
+        return 0.0
+    below_p, below_u = np.cumsum(p)[ends], np.cumsum(u)[ends]
+    risk = prior * below_p + np.maximum(0, (1 - below_u) - prior * (1 - below_p))
+    best = ends[risk <= risk.min() + 1e-12]
+    widest = best[np.argmax(f[best + 1] - f[best])]
+    return float((f[widest] + f[widest + 1]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
