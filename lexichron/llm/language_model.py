@@ -49,7 +49,19 @@ def _pairs(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[ends - counts] = START
-    return tokens, mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens), n
+    return tokens, mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) & ~np.uint64(255), n
+
+
+def _pack(keys: np.ndarray, size: int) -> bytes:
+    """The upper ``size`` bytes of each key; words keep all 8, bigrams 7 (their keys' last byte is 0)."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes()
+
+
+def _unpack(blob: pa.Buffer, size: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, size)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, 8 - size :] = raw
+    return keys.view(np.uint64).ravel()
 
 
 def _tokens(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,11 +83,11 @@ def _ask(parts: int):
         block = group.column("block")[0].as_py()
         learnt = np.repeat(~held, n)
         columns = []
-        for x in (tokens, pairs):
+        for x, size in ((tokens, 8), (pairs, 7)):
             keys, which = np.unique(x, return_inverse=True)
             c = np.bincount(which[learnt], minlength=len(keys)).astype(np.uint32)
             at = _split(keys, parts)
-            columns.append([(keys[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)])
+            columns.append([(_pack(keys[a:b], size), c[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)])
         texts = np.zeros(parts, np.int64)
         texts[0] = int((~held).sum())
         w, p = columns
@@ -92,8 +104,8 @@ def _ask(parts: int):
 def _answer(group: pa.Table) -> pa.Table:
     """The corpus counts of every key of one hash range, for each block in its own order."""
     out = {"block": group.column("block"), "part": group.column("part")}
-    for kind in ("word", "pair"):
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(f"{kind}_keys")]
+    for kind, size in (("word", 8), ("pair", 7)):
+        keys = [_unpack(x.as_buffer(), size) for x in group.column(f"{kind}_keys")]
         counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column(f"{kind}_counts")]
         flat = np.concatenate(keys)
         _, which = np.unique(flat, return_inverse=True)
