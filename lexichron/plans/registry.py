@@ -1,7 +1,398 @@
-"""All queries of the reference's operators and their SQL."""
+"""All queries of the word-history operators and their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "search_offline"
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import seeds as S
+from ..functions import words as W
+from ..functions.alignment import alignment
+from ..operators import relational as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "loan_by_lang"
+
+
+def q(value: object) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
+
+
+def listed(values) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of 2 to 20 letters of all documents, as ``w``."""
+    each = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")
+    return read(spark, sf_dir, "documents").select(each).where(F.length("w").between(2, 20)).distinct()
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.adjacent_pairs(tokens(spark, sf_dir))
+
+
+# The SQL of the views above, and of rule tables
+T = r"t AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 20)"
+P = T + ", p AS (SELECT * FROM (SELECT w AS a, lead(w) OVER (PARTITION BY substring(w, 1, 3) ORDER BY w) AS b FROM t) WHERE b IS NOT NULL)"
+FOREIGN, RARE = f"substring(w, 1, 1) IN ({', '.join(map(q, S.FOREIGN_INITIALS))})", f"substring(w, 1, 1) IN ({', '.join(map(q, S.RARE_INITIALS))})"
+HARMONY = "(regexp_matches(w, '[aıou]') AND regexp_matches(w, '[eiöü]'))"
+
+
+def rx(c: str, p: str) -> str:
+    return f"regexp_matches({c}, {q(p)})"
+
+
+def count_true(xs) -> str:
+    return " + ".join(f"({x})::INT" for x in xs)
+
+
+def picked(cases) -> str:
+    """SQL list of the labels whose conditions hold, in order."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(v)} END" for c, v in cases) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {T} SELECT w, regexp_replace(w, '[^{S.ALPHABET_A}]', '', 'g') AS a, regexp_replace(w, '[^{S.ALPHABET_B}]', '', 'g') AS b FROM t")
+def tok_alphabet_filter(spark, d):
+    return tokens(spark, d).select("w", W.letters(F.col("w"), S.ALPHABET_A).alias("a"), W.letters(F.col("w"), S.ALPHABET_B).alias("b"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(html, '[Ѐ-ӿ]') THEN 'Cyrillic' WHEN regexp_matches(html, '[؀-ۿ]') THEN 'Arabic' WHEN regexp_matches(html, '[Ͱ-Ͽ]') THEN 'Greek' ELSE 'Latin' END AS script FROM pages")
+def page_script(spark, d):
+    return read(spark, d, "pages").select("page_id", W.script(F.col("html")).alias("script"))
+
+
+@query(r"SELECT part.p_partkey, regexp_replace(lower(regexp_replace(' ' || chr(9) || p_name || ' ', '^\s+|\s+$', '', 'g')), '^\*+', '') AS name FROM part")
+def name_normalise(spark, d):
+    padded = F.concat(F.lit(" \t"), F.col("p_name"), F.lit(" "))
+    return read(spark, d, "part").select("p_partkey", W.unstar(W.normalise(padded)).alias("name"))
+
+
+_STRIP = f"list_reduce({listed(S.SUFFIXES)}, lambda acc, x: CASE WHEN ends_with(acc, x) AND length(acc) - length(x) >= 3 THEN left(acc, length(acc) - length(x)) ELSE acc END, w)"
+
+
+@query(f"WITH {T} SELECT w, CASE WHEN {FOREIGN} THEN w ELSE {_STRIP} END AS stem FROM t")
+def morph_strip(spark, d):
+    return tokens(spark, d).select("w", W.strip_suffixes(F.col("w"))["stem"].alias("stem"))
+
+
+_CUT = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(s, '^.{{2,}}({p})$') THEN regexp_extract(s, '({p})$', 1) END" for p in S.SEGMENTS) + ")"
+
+
+@query(f"""WITH RECURSIVE {T}, r(w, s, i, affixes) AS (SELECT w, regexp_replace(w, '[^{S.ALPHABET_B}]', '', 'g'), 0, ''::VARCHAR FROM t
+UNION ALL SELECT w, left(s, length(s) - length(cut)), i + 1, '-' || cut || affixes FROM (SELECT *, {_CUT} AS cut FROM r WHERE length(s) >= 3) WHERE cut IS NOT NULL)
+SELECT w, arg_max(s, i) AS stem, arg_max(affixes, i) AS affixes FROM r GROUP BY w""")
+def morph_segment(spark, d):
+    cut = tokens(spark, d).select("w", W.segment(F.col("w")).alias("m"))
+    return cut.select("w", "m.stem", F.array_join("m.affixes", "").alias("affixes"))
+
+
+_NONE = "[]::VARCHAR[]"
+_ENDS = lambda n, forms: f"list_transform({listed(forms)}, lambda f: left(w, length(w) - {n}) || f)"
+_LATIN = f"""list_distinct(list_concat([w], CASE WHEN {rx('w', '(gi|ge)$')} THEN {_ENDS(2, S.GI_FORMS)} WHEN {rx('w', '(lik|lık)$')} THEN {_ENDS(3, S.LIK_FORMS)} ELSE {_NONE} END,
+ list_filter([{', '.join(f"CASE WHEN {rx('w', p)} THEN regexp_replace(w, {q(p)}, {q(r)}, 'g') END" for p, r in S.SHIFTS)}], lambda x: x IS NOT NULL)))"""
+_ROOTS = "CASE " + " ".join(f"WHEN {rx('w', '|'.join(k))} THEN {listed(v)}" for k, v in S.ROOT_FORMS) + f" ELSE {_NONE} END"
+
+
+@query(f"""WITH {T}, l AS (SELECT w, {_LATIN} AS x FROM t)
+SELECT w, len(c) AS n, array_to_string(list_sort(c), ' ') AS forms FROM (SELECT w, list_distinct(list_concat(x,
+ list_transform(x, lambda f: replace(translate(f, '{S.CYRILLIC_FROM}', '{S.CYRILLIC_TO}'), 'c', '{S.CYRILLIC_C}')), {_ROOTS})) AS c FROM l)""")
+def variants_rows(spark, d):
+    all_of = tokens(spark, d).select("w", W.candidates(F.col("w")).alias("c"))
+    return all_of.select("w", F.size("c").cast("long").alias("n"), F.array_join("c", " ").alias("forms"))
+
+
+_CLUSTER = "(" + " OR ".join(f"starts_with(w, {q(x)})" for x in S.CLUSTERS) + ")"
+_BREACHES = [RARE, _CLUSTER, HARMONY, *[rx("w", p) for p, _ in S.ARABIC], *[f"ends_with(w, {q(x)})" for x in [*S.PERSIAN, *S.WESTERN]]]
+_SEA = "(CASE WHEN substring(w, 1, 1) IN ('f', 'h', 'p', 'v') THEN 4.0::DOUBLE ELSE 0 END)"
+_EAST = f"({_SEA} + 6.0::DOUBLE * ({count_true(rx('w', p) for p, _ in S.ARABIC)}) + 5.0::DOUBLE * ({count_true(f'ends_with(w, {q(x)})' for x in S.PERSIAN)}))"
+_WEST = f"((CASE WHEN substring(w, 1, 1) IN ('j', 'z', 'r', 'l') THEN 5.0::DOUBLE ELSE 0 END) + 6.0::DOUBLE * {_CLUSTER}::INT + 6.0::DOUBLE * ({count_true(f'ends_with(w, {q(x)})' for x in S.WESTERN)}))"
+_NATIVE = f"greatest(10.0::DOUBLE - 8.5::DOUBLE * ({RARE})::INT - 9.0::DOUBLE * {_CLUSTER}::INT - 4.5::DOUBLE * {HARMONY}::INT, 0.5::DOUBLE)"
+CLASSIFIED = f"""s AS (SELECT w, {_NATIVE} AS n, {_EAST} AS e, {_SEA} AS g, {_WEST} AS x, {count_true(_BREACHES)} AS n_violations FROM t),
+r AS (SELECT w, n_violations, {', '.join(f"floor({c} / (n + e + g + x) * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE AS {k}" for c, k in (('n', 'p_native'), ('e', 'p_arabic_persian'), ('g', 'p_greek_latin'), ('x', 'p_western')))} FROM s),
+c AS (SELECT *, CASE WHEN p_native >= 0.65 THEN {q(S.CLASSES['native'])} WHEN p_greek_latin > p_arabic_persian AND p_greek_latin >= p_western THEN {q(S.CLASSES['greek'])}
+ WHEN p_greek_latin = p_arabic_persian AND substring(w, 1, 1) IN ('h', 'k', 'p', 'f') THEN {q(S.CLASSES['mediterranean'])}
+ WHEN p_arabic_persian >= greatest(p_greek_latin, p_western) THEN {q(S.CLASSES['east'])} WHEN p_greek_latin >= p_western THEN {q(S.CLASSES['greek'])} ELSE {q(S.CLASSES['west'])} END AS classification FROM r)"""
+
+
+@query(f"WITH {T}, {CLASSIFIED} SELECT * FROM c")
+def loan_classify(spark, d):
+    return tokens(spark, d).select("w", W.classify(F.col("w")).alias("c")).select("w", "c.*")
+
+
+@query(rf"""WITH l AS (SELECT DISTINCT lang, w FROM (SELECT lang, unnest(string_split_regex(lower(text), '[^\p{{L}}]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 20),
+t AS (SELECT DISTINCT w FROM l), {CLASSIFIED} SELECT lang, classification, count(*) AS words FROM l JOIN c USING (w) GROUP BY lang, classification""")
+def loan_by_lang(spark, d):
+    each = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")
+    words = read(spark, d, "documents").select("lang", each).where(F.length("w").between(2, 20)).distinct()
+    return words.select("lang", W.classify(F.col("w"))["classification"].alias("classification")).groupBy("lang", "classification").agg(F.count("*").alias("words"))
+
+
+@query(f"WITH {T} SELECT w, coalesce({', '.join(f'CASE WHEN {rx('w', p)} THEN {i} END' for i, p in enumerate(S.NEOLOGISMS, 1))}) AS rule FROM t WHERE length(w) >= 3")
+def neologism(spark, d):
+    return tokens(spark, d).where(F.length("w") >= 3).select("w", W.neologism(F.col("w")).alias("rule"))
+
+
+@query(f"WITH {T} SELECT w, ({FOREIGN})::INT + {HARMONY}::INT AS breaches FROM t")
+def phonotactics(spark, d):
+    return tokens(spark, d).select("w", W.phonotactics(F.col("w")).alias("breaches"))
+
+
+@query(f"WITH {T} SELECT w, array_to_string({picked((rx('w', p), v) for p, v in S.DONOR_PATTERNS)}, '; ') AS patterns FROM t")
+def donor_patterns(spark, d):
+    return tokens(spark, d).select("w", F.array_join(W.donor_patterns(F.col("w")), "; ").alias("patterns"))
+
+
+@query(f"WITH {T} SELECT w, replace(replace(translate(w, '{S.IPA_FROM}', '{S.IPA_TO}'), 'c', 'dʒ'), 'ç', 'tʃ') AS ipa, length(regexp_replace(w, '[^aeıioöuü]', '', 'g')) AS vowels FROM t")
+def ipa(spark, d):
+    return tokens(spark, d).select("w", W.ipa(F.col("w")).alias("ipa"), F.length(W.vowels(F.col("w"))).cast("long").alias("vowels"))
+
+
+_LAWS = picked((f"{rx('a', s)} AND {rx('b', t)}", name) for name, s, t in S.LAWS)
+
+
+@query(f"WITH {P} SELECT a, b, coalesce(nullif(array_to_string({_LAWS}, '; '), ''), {q(S.NO_LAW)}) AS laws FROM p")
+def sound_laws(spark, d):
+    return pairs(spark, d).select("a", "b", W.laws_text(F.col("a"), F.col("b")).alias("laws"))
+
+
+_SKEL = lambda c: f"list_distinct(string_split(regexp_replace(translate({c}, '{S.FOLD_FROM}', '{S.FOLD_TO}'), '[^a-zçğıöşü]', '', 'g'), ''))"
+
+
+@query(f"""WITH {P}, k AS (SELECT a, b, len({_LAWS}) AS laws, list_filter({_SKEL('a')}, lambda x: x <> '') AS x, list_filter({_SKEL('b')}, lambda x: x <> '') AS y FROM p),
+o AS (SELECT a, b, laws, CAST(len(list_intersect(x, y)) AS DOUBLE) / greatest(len(x), len(y), 1) AS o FROM k)
+SELECT a, b, laws > 0 OR o >= 0.3 AS is_valid, CASE WHEN laws > 0 THEN 0.95 WHEN o >= 0.6 THEN 0.85 WHEN o >= 0.3 THEN 0.75 ELSE 0.2 END::DOUBLE AS score FROM o""")
+def chain_verify(spark, d):
+    return pairs(spark, d).select("a", "b", W.chain(F.col("a"), F.col("b")).alias("c")).select("a", "b", "c.is_valid", "c.score")
+
+
+@query(f"WITH {T} SELECT w, regexp_replace(translate(regexp_replace(w, '[^{S.ALPHABET_A}]', '', 'g'), '{S.CLASS_FROM}', '{S.CLASS_TO}'), '[^A-Z]', 'X', 'g') AS classes FROM t")
+def sound_class(spark, d):
+    return tokens(spark, d).select("w", W.sound_classes(F.col("w")).alias("classes"))
+
+
+_SEGMENTS = ", ".join(f"({q(k)}, {q(v)})" for k, v in S.ARTICULATION.items())
+
+
+@query(f"""WITH f(seg, v) AS (VALUES {_SEGMENTS}), e AS (SELECT seg, i, substring(v, i, 1) AS x FROM f, range(1, {len(S.FEATURES) + 1}) AS r(i))
+SELECT a.seg AS a, b.seg AS b, floor(count(*) FILTER (a.x <> b.x) / CAST(count(*) AS DOUBLE) * 1000 + 0.5) / 1000.0::DOUBLE AS distance
+FROM e a JOIN e b USING (i) WHERE a.x <> '0' AND b.x <> '0' GROUP BY a.seg, b.seg""")
+def hamming_table(spark, d):
+    seg = spark.createDataFrame(list(S.ARTICULATION.items()), "seg string, v string").select("seg", F.posexplode(F.filter(F.split("v", ""), lambda x: x != "")).alias("i", "x")).where("x <> '0'")
+    both = seg.withColumnsRenamed({"seg": "a", "x": "p"}).join(seg.withColumnsRenamed({"seg": "b", "x": "q"}), "i")
+    return both.groupBy("a", "b").agg(W.round_n(F.sum((F.col("p") != F.col("q")).cast("int")) / F.count("*"), 3).alias("distance"))
+
+
+@query()
+def align_pairs(spark, d):
+    both = pairs(spark, d).select("a", "b", W.letters(F.col("a"), S.ALPHABET_A).alias("x"), W.letters(F.col("b"), S.ALPHABET_A).alias("y"))
+    return both.withColumn("al", alignment("x", "y")).select("a", "b", "al.*")
+
+
+@query("SELECT x.n_name AS a, y.n_name AS b, levenshtein(x.n_name, y.n_name) AS distance, floor((1 - levenshtein(x.n_name, y.n_name) / CAST(greatest(length(x.n_name), length(y.n_name)) AS DOUBLE)) * 100 * 10 + 0.5) / 10.0::DOUBLE AS similarity FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name")
+def levenshtein_pairs(spark, d):
+    x, y = (read(spark, d, "nation").select("n_regionkey", F.col("n_name").alias(c)) for c in "ab")
+    both = x.join(y, "n_regionkey").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
+    return both.withColumn("similarity", W.round_n((1 - F.col("distance") / F.greatest(F.length("a"), F.length("b")).cast("double")) * 100, 1))
+
+
+_B = lambda c: f"regexp_replace({c}, '[^{S.ALPHABET_B}]', '', 'g')"
+_V = lambda c: f"regexp_replace({c}, '[^aeıioöuü]', '', 'g')"
+
+
+@query(f"""WITH {P}, k AS (SELECT a, b, {_B('a')} AS s, {_B('b')} AS t FROM p)
+SELECT a, b, CASE WHEN s = '' OR t = '' OR s = t THEN '' ELSE concat_ws(' ', CASE WHEN left(s, 1) <> left(t, 1) THEN 'INITIAL_' || upper(left(s, 1)) || '_' || upper(left(t, 1)) END,
+ CASE WHEN right(s, 1) <> right(t, 1) THEN 'FINAL_' || upper(right(s, 1)) || '_' || upper(right(t, 1)) END,
+ CASE WHEN {_V('s')} <> '' AND {_V('t')} <> '' AND {_V('s')} <> {_V('t')} THEN 'VOWEL_SHIFT' END) END AS rules FROM k""")
+def law_induction(spark, d):
+    return pairs(spark, d).select("a", "b", F.array_join(W.induced_laws(F.col("a"), F.col("b")), " ").alias("rules"))
+
+
+@query(f"""WITH {T}, m AS (SELECT w, {FOREIGN} AS f, {_STRIP} AS s FROM t), h AS (SELECT w, f, CASE WHEN s LIKE 'h%' THEN 'k' || s[2:] WHEN s LIKE 'd%' THEN 't' || s[2:] ELSE s END AS s FROM m),
+i AS (SELECT *, instr(s, 'l') AS l, instr(s, 'r') AS r FROM h)
+SELECT w, '*' || CASE WHEN f THEN w WHEN l > 0 AND l < r THEN left(s, l - 1) || 'r' || substring(s, l + 1, r - l - 1) || 'l' || s[r + 1:] ELSE s END AS proto FROM i""")
+def proto_forms(spark, d):
+    return tokens(spark, d).select("w", W.proto_form(F.col("w")).alias("proto"))
+
+
+@query(f"WITH {T}, b AS (SELECT w, {_B('w')} AS x FROM t) SELECT w, CASE WHEN x = '' THEN '' ELSE '*' || translate(left(x, 1), 'ktm', 'gdb') || regexp_replace(x[2:], '[zs]$', 'ŕ') END AS proto FROM b")
+def proto_unattested(spark, d):
+    return tokens(spark, d).select("w", W.unattested_form(F.col("w")).alias("proto"))
+
+
+_YEAR = lambda c: rf"""coalesce(CAST(nullif(regexp_extract({c}, '(?:^|[^\p{{L}}\p{{N}}_])(1\d{{3}}|20\d{{2}}|\d{{3}})(?:[^\p{{L}}\p{{N}}_]|$)', 1), '') AS INT) * sign,
+ ((CAST(nullif(regexp_extract(lower({c}), '(\d{{1,2}})\.?\s*(?:yy|yüzyıl|century)', 1), '') AS INT) - 1) * 100 + 50) * sign,
+ CASE {' '.join(f"WHEN regexp_matches(lower({c}), '{'|'.join(k)}') THEN {y}" for k, y in S.PERIODS)} END)"""
+_ERAS = ["{}", "M.Ö. {}", "{} yılı Orhun", "11. yüzyıl Divan", "Cumhuriyet", "Öz Türkçe"]
+_ORDERS = f"o AS (SELECT o_orderkey, replace({listed(_ERAS)}[1 + o_orderkey % {len(_ERAS)}], '{{}}', CAST(year(o_orderdate) AS VARCHAR)) AS x FROM orders), k AS (SELECT *, CASE WHEN regexp_matches(lower(x), 'm\\.ö|mö|bc') THEN -1 ELSE 1 END AS sign FROM o)"
+
+
+def _eras(spark, d):
+    era = F.element_at(W.strings(_ERAS), (F.col("o_orderkey") % len(_ERAS) + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", F.replace(era, F.lit("{}"), F.year("o_orderdate").cast("string")).alias("x"))
+
+
+@query(f"WITH {_ORDERS} SELECT o_orderkey, {_YEAR('x')} AS year FROM k")
+def year_parse(spark, d):
+    return _eras(spark, d).select("o_orderkey", W.year(F.col("x")).alias("year"))
+
+
+@query(f"WITH {_ORDERS} SELECT o_orderkey, coalesce({_YEAR('x')} <= 1074, true) AS valid FROM k")
+def time_lock(spark, d):
+    return _eras(spark, d).select("o_orderkey", W.time_lock(F.col("x"), F.lit("11. yy Divan 1074")).alias("valid"))
+
+
+_GRAMS = r"""g AS (SELECT item_id, gram, count(*) AS f FROM (SELECT item_id, unnest(list_concat([w], list_concat(
+  list_transform(range(1, length(w)), lambda i: substring(w, i, 2)), list_concat(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4)))))) AS gram
+ FROM (SELECT item_id, unnest(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+')) AS w FROM benchmark) WHERE w <> '') GROUP BY item_id, gram)"""
+
+
+@query(f"WITH {_GRAMS} SELECT item_id, gram, f AS n FROM g")
+def ngram_tf(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.explode(W.ngrams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_GRAMS}, s AS (SELECT item_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS dim, sum(1 + ln(f)) AS x FROM g GROUP BY 1, 2), n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1)
+SELECT item_id, CAST(dim AS INT) AS dim, floor(x / norm * 10000 + 0.5) / 10000.0::DOUBLE AS weight FROM s JOIN n USING (item_id)""")
+def hash_vector(spark, d):
+    return R.gram_weights(read(spark, d, "benchmark"), "item_id", "text")
+
+
+@query()
+def meaning_drift(spark, d):
+    both = read(spark, d, "benchmark").select("item_id", "text", F.reverse(F.col("text")).alias("other"))
+    return R.drift(both, "item_id", "text", "other")
+
+
+@query("SELECT x.vec_id, floor((1 - greatest(0, least(1, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))))) * 10000 + 0.5) / 10000.0::DOUBLE AS distance FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
+def embedding_cosine(spark, d):
+    x = read(spark, d, "embeddings").select("vec_id", "embedding")
+    y = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return x.join(y, "vec_id").select("vec_id", W.cosine_distance(F.col("embedding"), F.col("next")).alias("distance"))
+
+
+_PLAIN = lambda c: rf"trim(regexp_replace(regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+k AS (SELECT page_id, h, list_filter(list_transform(regexp_extract_all(h, '(?is)<(?:p|article|blockquote)\b[^>]*>(.*?)</(?:p|article|blockquote)>', 1)[1:10], lambda x: {_PLAIN('x')}), lambda x: length(x) >= 30) AS l FROM b)
+SELECT page_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ' ') ELSE {_PLAIN('h')} END AS text FROM k""")
+def html_text(spark, d):
+    return read(spark, d, "pages").select("page_id", W.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark, d):
+    return read(spark, d, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+_NOTES = ["bkz. göz; bknz. Köz ve [-> herkil-2]", "[ -> su ] bkz. su", "urfa ağzı", "Kırım -> deniz", ""]
+_NOTED = f"n AS (SELECT c_custkey, {listed(_NOTES)}[1 + c_custkey % {len(_NOTES)}] || ' ' || c_name AS x FROM customer)"
+
+
+def _notes(spark, d):
+    note = F.element_at(W.strings(_NOTES), (F.col("c_custkey") % len(_NOTES) + 1).cast("int"))
+    return read(spark, d, "customer").select("c_custkey", F.concat(note, F.lit(" "), F.col("c_name")).alias("x"))
+
+
+@query()
+def xref_extract(spark, d):
+    return _notes(spark, d).select("c_custkey", F.array_join(W.references(F.col("x")), " ").alias("refs"))
+
+
+@query(f"""WITH {_NOTED}, k AS (SELECT c_custkey, x, CASE {' '.join(f"WHEN contains(lower(x), {q(p[0].lower())}) THEN {i}" for i, p in enumerate(S.PLACES, 1))} END AS i FROM n)
+SELECT c_custkey, coalesce({listed(p[0] for p in S.PLACES)}[i], trim(x)) AS location, coalesce({listed(p[1] for p in S.PLACES)}[i], {q(S.NO_REGION)}) AS region, CAST({listed(p[2] for p in S.PLACES)}[i] AS DOUBLE) AS lat, CAST({listed(p[3] for p in S.PLACES)}[i] AS DOUBLE) AS lon FROM k""")
+def geo_tag(spark, d):
+    return _notes(spark, d).select("c_custkey", W.region(F.col("x")).alias("r")).select("c_custkey", "r.*")
+
+
+_ENTRIES = r"""e AS (SELECT DISTINCT ON (w, lang, source) w AS query_word, lang AS lang_code, source AS lang_name, w AS word, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'Online x' ELSE source END AS meaning,
+ CAST(substring(source, 4) AS INT) AS priority, doc_id AS ordinal FROM (SELECT doc_id, lang, source, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 20 ORDER BY doc_id)"""
+
+
+def entries(spark, d):
+    """Documents as pseudo-entries: for each word, language and source the first document's."""
+    each = read(spark, d, "documents").select("doc_id", "lang", "source", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, 20))
+    one = each.groupBy("w", "lang", "source").agg(F.min("doc_id").alias("ordinal"))
+    meaning = F.when(F.col("ordinal") % 3 == 0, "").when(F.col("ordinal") % 7 == 0, "Online x").otherwise(F.col("source"))
+    return one.select(F.col("w").alias("query_word"), F.col("lang").alias("lang_code"), F.col("source").alias("lang_name"), F.col("w").alias("word"), meaning.alias("meaning"), F.substring("source", 4, 9).cast("int").alias("priority"), "ordinal")
+
+
+@query(f"WITH {_ENTRIES} SELECT query_word, lang_code, word, lang_name, meaning, priority, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY query_word, lang_code, word ORDER BY (meaning = '' OR starts_with(meaning, 'Online')), priority, ordinal) AS r FROM e) WHERE r = 1")
+def merge_dedupe(spark, d):
+    return R.merge_entries(entries(spark, d))
+
+
+@query(f"""WITH {_ENTRIES}, n AS (SELECT query_word, count(DISTINCT nullif(lang_name, '')) AS languages FROM e GROUP BY 1), r AS (SELECT *, floor(languages / 25.0::DOUBLE * 100 + 0.5) / 100.0::DOUBLE AS x FROM n)
+SELECT query_word, languages, least(x, 1.0)::DOUBLE AS ratio, floor((85.0::DOUBLE + least(x * 15.0::DOUBLE, 15.0::DOUBLE)) * 10 + 0.5) / 10.0::DOUBLE AS score, CASE WHEN x >= 0.6 THEN {q(S.SPREADS[0][1])} WHEN x >= 0.25 THEN {q(S.SPREADS[1][1])} ELSE {q(S.SPREADS[2][1])} END AS assessment FROM r""")
+def spread(spark, d):
+    return R.spread_by_word(entries(spark, d))
+
+
+@query(f"WITH {_ENTRIES} SELECT query_word, array_to_string(list_sort(list_distinct(list(lang_name))), ' ') AS sources FROM e GROUP BY 1")
+def sources_agg(spark, d):
+    return entries(spark, d).groupBy("query_word").agg(F.array_join(F.array_sort(F.collect_set("lang_name")), " ").alias("sources"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+def store_upsert(spark, d):
+    all_of = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return R.upsert(all_of.where("turn % 2 = 0"), all_of.where("turn % 2 = 1"), "conv_id", "turn")
+
+
+def _words_of(spark, d):
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    w = F.lower("c_name")
+    return c.select(w.alias("word"), F.concat(F.lit("*"), F.lower("n_name")).alias("root"), F.array(F.col("c_name"), F.col("n_name")).alias("attestations"), F.array(w, F.reverse(w)).alias("cognates"))
+
+
+_CN = "c AS (SELECT lower(c_name) AS w, c_name, lower(n_name) AS r, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query(f"""WITH {_CN} SELECT w AS word, unnest(['word_' || w, 'proto_' || r, 'att_' || w || '_0', 'att_' || w || '_1', 'cog_' || w || '_0', 'cog_' || w || '_1']) AS node_id,
+ unnest(['Word', 'ProtoForm', 'Attestation', 'Attestation', 'Cognate', 'Cognate']) AS kind, unnest([w, '*' || r, c_name, n_name, w, reverse(w)]) AS label FROM c""")
+def graph_nodes(spark, d):
+    return R.graph_nodes(_words_of(spark, d))
+
+
+@query(f"""WITH {_CN} SELECT w AS word, unnest(['proto_' || r, 'word_' || w, 'word_' || w, 'proto_' || r, 'proto_' || r]) AS source,
+ unnest(['word_' || w, 'att_' || w || '_0', 'att_' || w || '_1', 'cog_' || w || '_0', 'cog_' || w || '_1']) AS target, unnest(['DERIVED_FROM', 'ATTESTED_IN', 'ATTESTED_IN', 'COGNATE_OF', 'COGNATE_OF']) AS relation FROM c""")
+def graph_edges(spark, d):
+    return R.graph_edges(_words_of(spark, d))
+
+
+@query("SELECT 'form_' || (n_nationkey + 1) AS id, CAST(n_regionkey AS VARCHAR) AS language_id, n_name AS parameter_id, lower(n_name) AS form, array_to_string(string_split(lower(n_name), ''), ' ') AS segments FROM nation")
+def cldf_forms(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_name").alias("word"), F.col("n_nationkey").alias("position"), F.col("n_regionkey").cast("string").alias("lang_code"), F.lower("n_name").alias("form"))
+    return R.cldf_forms(n)
+
+
+@query(f"WITH {T}, {CLASSIFIED}, l AS (SELECT DISTINCT quality, w FROM (SELECT quality, unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS w FROM documents JOIN labels USING (doc_id))) SELECT quality, classification, count(*) AS words FROM l JOIN c USING (w) GROUP BY quality, classification")
+def labels_quality_loan(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    words = docs.select("quality", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, 20)).distinct()
+    return words.select("quality", W.classify(F.col("w"))["classification"].alias("classification")).groupBy("quality", "classification").agg(F.count("*").alias("words"))
+
+
+@query()
+def referee(spark, d):
+    p = pairs(spark, d)
+    h = p.select(F.concat("a", F.lit(">"), "b").alias("id"), F.col("b").alias("word"), F.concat(F.lit("*"), F.col("a")).alias("origin"), F.lit("Proto-Türkçe M.Ö. 500").alias("donor"), F.concat(F.lit("kök "), F.col("a")).alias("proof"), F.col("b").alias("meaning"), F.lit("8. yüzyıl").alias("attestation"))
+    return R.referee(h)
