@@ -23,6 +23,7 @@ TOLERANCE = 0.005
 #: Rows that one task numbers, about.
 SLOT_ROWS = 50_000
 DIMENSIONS = ("kd_size", "kd_digest")
+EXPRESSION_CUTS, EXPRESSION_NODES = 256, 64
 
 
 def text_size(text: Column) -> Column:
@@ -52,10 +53,65 @@ def _cuts(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return state.select("node", "dim", "low", "high", F.when(with_it <= without, F.col("lo")).otherwise(F.col("lo") - 1).alias("cut"), (F.least(with_it, without) / F.col("total")).alias("off"))
 
 
-def _descend(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Rows with their node, one level down. ``cuts``: (cut_node, dim, cut, left), a row for each node that is cut."""
+def _few_cuts(points: DataFrame, fractions: dict[int, float]) -> list[tuple[int, int, int, int, int, float]]:
+    """The rows of :func:`_cuts` for up to ``EXPRESSION_NODES`` nodes: brackets are expressions, so points are
+    neither joined nor exploded. One row for each node and dimension comes to the driver in each round."""
+
+    def at_node(values: dict[int, object]) -> Column:
+        (first, value), *rest = values.items()
+        out = F.when(F.col("node") == first, F.lit(value))
+        for k, v in rest:
+            out = out.when(F.col("node") == k, F.lit(v))
+        return out
+
+    ends = [f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
+    ranges = {r["node"]: r for r in points.where(F.col("node").isin(list(fractions))).groupBy("node").agg(F.sum("kd_size").alias("total"), *ends).collect()}
+    found = {(k, i): {"low": r[f"low_{d}"], "high": r[f"high_{d}"], "lo": r[f"low_{d}"], "hi": r[f"high_{d}"], "below": 0, "inside": r["total"], "total": r["total"], "goal": r["total"] * fractions[k]} for k, r in ranges.items() for i, d in enumerate(DIMENSIONS)}
+    while wide := {k: x for k, x in found.items() if x["hi"] > x["lo"]}:
+        bars = None
+        for i, d in enumerate(DIMENSIONS):
+            own = {k: x for (k, j), x in wide.items() if j == i}
+            if not own:
+                continue
+            lo, hi, step, below, goal = (at_node(v) for v in ({k: f(x) for k, x in own.items()} for f in (lambda x: x["lo"], lambda x: x["hi"], lambda x: (x["hi"] - x["lo"]) // BINS + 1, lambda x: x["below"], lambda x: float(x["goal"]))))
+            hit = points.where(F.col("node").isin(list(own)) & F.col(d).between(lo, hi)).groupBy("node", F.floor((F.col(d) - lo) / step).alias("bin")).agg(F.sum("kd_size").alias("inside"))
+            upto = F.sum("inside").over(Window.partitionBy("node").orderBy("bin")) + below
+            best = hit.withColumn("upto", upto).where(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("bin", "upto", "inside")).alias("b")).select("node", F.lit(i).alias("dim"), "b.*")
+            bars = best if bars is None else bars.union(best)
+        for r in bars.collect():
+            x = found[r["node"], r["dim"]]
+            step = (x["hi"] - x["lo"]) // BINS + 1
+            x["lo"] += r["bin"] * step
+            x |= {"hi": min(x["hi"], x["lo"] + step - 1), "below": r["upto"] - r["inside"], "inside": r["inside"]}
+    out = []
+    for (k, i), x in found.items():
+        with_it, without = abs(x["below"] + x["inside"] - x["goal"]), abs(x["below"] - x["goal"])
+        out.append((k, i, x["lo"] if with_it <= without else x["lo"] - 1, x["low"], x["high"], min(with_it, without) / x["total"]))
+    return out
+
+
+def _descend(rows: DataFrame, levels: list[list[tuple[int, int, int, int]]]) -> DataFrame:
+    """Rows with ``node``, the leaf that they reach. levels: (node, dim, cut, left) of each level's cut nodes, where
+    ``left`` shards are on the left side and the right side's node is node + left. A tree of up to ``EXPRESSION_CUTS``
+    cuts is one expression; a larger one is joined level by level."""
+    if sum(map(len, levels)) <= EXPRESSION_CUTS:
+        tree = [{k: x for k, *x in cuts} for cuts in levels]
+
+        def below(node: int, level: int) -> Column:
+            if level == len(tree):
+                return F.lit(node)
+            if node not in tree[level]:
+                return below(node, level + 1)
+            dim, cut, left = tree[level][node]
+            return F.when(F.col(DIMENSIONS[dim]) > cut, below(node + left, level + 1)).otherwise(below(node, level + 1))
+
+        return rows.withColumn("node", below(0, 0))
+    rows = rows.withColumn("node", F.lit(0))
     x = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
-    return rows.join(F.broadcast(cuts), F.col("node") == F.col("cut_node"), "left").withColumn("node", F.col("node") + F.when(x > F.col("cut"), F.col("left")).otherwise(0)).drop("cut_node", "dim", "cut", "left")
+    for cuts in levels:
+        table_of = F.broadcast(rows.sparkSession.createDataFrame(cuts, "cut_node int, dim int, cut long, left int"))  # fewer rows than shards
+        rows = rows.join(table_of, F.col("node") == F.col("cut_node"), "left").withColumn("node", F.col("node") + F.when(x > F.col("cut"), F.col("left")).otherwise(0)).drop("cut_node", "dim", "cut", "left")
+    return rows
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 1 << 30) -> DataFrame:
@@ -73,30 +129,35 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 1
 
     def placed(rows: DataFrame) -> DataFrame:
         marked = rows.join(F.broadcast(heavy), ["kd_size", "kd_crc32"], "left")
-        return marked.withColumn("kd_digest", F.when(F.col("kd_heavy"), F.col("kd_id")).otherwise(F.col("kd_crc32"))).withColumn("node", F.lit(0)).drop("kd_heavy")
+        return marked.withColumn("kd_digest", F.when(F.col("kd_heavy"), F.col("kd_id")).otherwise(F.col("kd_crc32"))).drop("kd_heavy")
 
-    points = materialise(placed(narrow).select("kd_size", "kd_digest", "node"))
+    points = materialise(placed(narrow).select(*DIMENSIONS))
     whole = [r[0] or 1 for r in (points.agg(F.max(d) - F.min(d)).first() for d in DIMENSIONS)]
     spark, parts, levels = docs.sparkSession, {0: shards}, []
     while any(n > 1 for n in parts.values()):
-        open_nodes = spark.createDataFrame([(k, (n // 2) / n) for k, n in parts.items() if n > 1], "node int, fraction double")
+        fractions = {k: (n // 2) / n for k, n in parts.items() if n > 1}
+        at_nodes = _descend(points, levels)
+        if len(fractions) <= EXPRESSION_NODES:
+            measured_cuts = _few_cuts(at_nodes, fractions)
+        else:
+            open_nodes = spark.createDataFrame(list(fractions.items()), "node int, fraction double")
+            met = at_nodes.join(F.broadcast(open_nodes.select("node")), "node", "left_semi")
+            measured_cuts = [(r.node, r.dim, r.cut, r.low, r.high, r.off) for r in _cuts(met, open_nodes).collect()]
         found: dict[int, list] = {}
-        for r in _cuts(points.join(F.broadcast(open_nodes.select("node")), "node", "left_semi"), open_nodes).collect():
-            found.setdefault(r.node, []).append(((r.high - r.low) / whole[r.dim], r))
+        for node, dim, cut, low, high, off in measured_cuts:
+            found.setdefault(node, []).append(((high - low) / whole[dim], dim, cut, off))
         cuts, parts_below = [], {k: n for k, n in parts.items() if n == 1}
         for k, n in parts.items():
             if n == 1 or k not in found:
                 continue
-            ranked = [r for _, r in sorted(found[k], key=lambda x: (-x[0], -x[1].dim))]
-            best = next((r for r in ranked if r.off <= TOLERANCE), min(ranked, key=lambda r: r.off))
-            cuts.append((k, best.dim, best.cut, n // 2))
+            ranked = sorted(found[k], key=lambda x: (-x[0], -x[1]))  # the widest first
+            _, dim, cut, _ = next((x for x in ranked if x[3] <= TOLERANCE), min(ranked, key=lambda x: x[3]))
+            cuts.append((k, dim, cut, n // 2))
             parts_below |= {k: n // 2, k + n // 2: n - n // 2}
         parts = parts_below
-        levels.append(spark.createDataFrame(cuts, "cut_node int, dim int, cut long, left int"))
-        points = materialise(_descend(points, levels[-1])) if any(n > 1 for n in parts.values()) else points
+        levels.append(cuts)
     rows = placed(measured.withColumn("kd_id", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    for cuts in levels:
-        rows = _descend(rows, cuts)
+    rows = _descend(rows, levels)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "kd_size", "kd_crc32", F.col("node").alias("kd_shard"))
 
 
