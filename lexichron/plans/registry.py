@@ -11,10 +11,12 @@ from ..functions import seeds as S
 from ..functions import words as W
 from ..functions.alignment import alignment
 from ..operators import relational as R
+from ..sources import lexicon
+from .search import search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "loan_by_lang"
+FLAGSHIP = "search_offline"
 
 
 def q(value: object) -> str:
@@ -396,3 +398,16 @@ def referee(spark, d):
     p = pairs(spark, d)
     h = p.select(F.concat("a", F.lit(">"), "b").alias("id"), F.col("b").alias("word"), F.concat(F.lit("*"), F.col("a")).alias("origin"), F.lit("Proto-Türkçe M.Ö. 500").alias("donor"), F.concat(F.lit("kök "), F.col("a")).alias("proof"), F.col("b").alias("meaning"), F.lit("8. yüzyıl").alias("attestation"))
     return R.referee(h)
+
+
+@query()
+def search_offline(spark, d):
+    """The headwords of the dictionaries and all document words, searched together."""
+    heads = lexicon.entries(spark).select(F.col("headword").alias("query_word")).distinct()
+    found = search(heads.union(tokens(spark, d).select("w")), spark)
+    return found.withColumns({"entries": F.to_json("entries"), "cognates": F.array_join("cognates", " | ")})
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(q(x) for x in (h, c, w)) + ")" for h, (_, _, own) in lexicon.COGNATES.items() for c, (w, _) in own.items()) + ") AS t(headword, lang_code, word)")
+def lexicon_cognates(spark, d):
+    return lexicon.entries(spark).where("source = 'cognates'").select("headword", "lang_code", "word")

@@ -1,0 +1,63 @@
+"""Embedded dictionaries as tables: roots and entries of headwords, with a source's priority."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import words as W
+
+# Language codes and names.
+LANGUAGES = {
+    "otk": "Eski Türkçe", "tr": "Türkiye Türkçesi", "az": "Azerbaycan Türkçesi", "kk": "Kazakça", "uz": "Özbekçe", "tk": "Türkmençe", "ky": "Kırgızca", "tt": "Tatarca", "ug": "Uygurca",
+    "cv": "Çuvaşça", "sah": "Saha / Yakutça", "ba": "Başkurtça", "gag": "Gagavuzca", "krc": "Karaçay-Balkarca", "tyv": "Tuva Türkçesi", "alt": "Altay Türkçesi", "khk": "Hakasça", "chg": "Çağatayca",
+}
+# Reconstructed roots, their meanings, and cognates by language (word; meaning).
+COGNATES = {
+    "ayak": ("*adak / *adaq", "foot / leg / step", {
+        "otk": ("adak / adaq", "ayak, adak"), "tr": ("ayak", "vücudun yürüme organı, ayak"), "az": ("ayaq", "ayak"), "kk": ("аяқ (ayaq)", "ayak"), "uz": ("oyoq", "ayak"), "tk": ("aýak", "ayak"),
+        "ky": ("аяк (ayak)", "ayak"), "tt": ("аяк (ayaq)", "ayak"), "ug": ("ئاياق (ayaq)", "ayak"), "cv": ("ура (ura)", "ayak (Oğur r-dili kayması)"), "sah": ("атах (atax)", "ayak (Saha t-dili kayması)"),
+        "ba": ("аяҡ (ayaq)", "ayak"), "tyv": ("аяк (ayak)", "ayak"), "khk": ("азах (azaq)", "ayak (Hakas z-dili kayması)")}),
+    "su": ("*sub", "water / liquid / stream", {
+        "otk": ("sub / suv", "su, akarsu"), "tr": ("su", "su, sıvı"), "az": ("su", "su"), "kk": ("су (su)", "su"), "uz": ("suv", "su"), "tk": ("suw", "su"), "ky": ("суу (suu)", "su"), "tt": ("су (su)", "su"),
+        "ug": ("سۇ (su)", "su"), "cv": ("шыв (šəv)", "su"), "sah": ("уу (uu)", "su"), "ba": ("һыу (hıw)", "su"), "tyv": ("суг (suğ)", "su")}),
+    "göz": ("*göŕ", "eye / sight", {
+        "otk": ("göz / kör-", "göz, görmek"), "tr": ("göz", "görüş organı, göz"), "az": ("göz", "göz"), "kk": ("kөз (köz)", "göz"), "uz": ("ko'z", "göz"), "tk": ("göz", "göz"), "ky": ("көз (köz)", "göz"),
+        "tt": ("күз (küz)", "göz"), "ug": ("كۆز (köz)", "göz"), "cv": ("куҫ (kuś)", "göz"), "sah": ("көс (kös)", "göz, bakış"), "ba": ("күз (küz)", "göz")}),
+    "el": ("*el / *elig", "hand / forearm / hold", {
+        "otk": ("elig", "el"), "tr": ("el", "tutma organı, el"), "az": ("əl", "el"), "kk": ("қол / елік", "el"), "uz": ("qo'l / el", "el"), "tk": ("el", "el"), "ky": ("кол / эл", "el"), "tt": ("кул / ил", "el"),
+        "ug": ("ئەل (el)", "el"), "cv": ("алӑ (ală)", "el"), "sah": ("ilii (ilii)", "el")}),
+    "deniz": ("*teŋiz", "sea / large lake / ocean", {
+        "otk": ("teŋiz", "deniz, büyük göl"), "tr": ("deniz", "büyük su kütlesi, deniz"), "az": ("dəniz", "deniz"), "kk": ("теңіз (teŋiz)", "deniz"), "uz": ("dengiz", "deniz"), "tk": ("deňiz", "deniz"),
+        "ky": ("деңиз (deŋiz)", "deniz"), "tt": ("тиңез (tiŋez)", "deniz"), "ug": ("دەڭىز (deŋiz)", "deniz"), "cv": ("тинӗс (tinĕs)", "deniz"), "sah": ("тиңис (tiŋis)", "deniz")}),
+}
+COGNATE_PRIORITY, NATIONAL_PRIORITY = 14, 9
+# National dictionaries and their rows (headword: code, word, meaning).
+NATIONAL_NAMES = {
+    "az": "Azerbaycan Obastan / Azleks İzahlı Lüğəti", "uz": "Özbekistan Savodxon / ZiyoNET İzoqli Lug'ati", "kk": "Kazakistan Tilqazyna / Sozlik.kz Sözдіgі", "ky": "Kırgızistan ElSözlük İzahlı Sözlüğü", "tt": "Tataristan Tatarica İzahlı Sözlüğü",
+}
+NATIONAL = {
+    "deniz": [("az", "dəniz", "Böyük su hövzəsi, dəniz"), ("uz", "dengiz", "Dengiz, katta suv havzasi"), ("kk", "теңіз", "Теңіз, үлкен су айдыны"), ("ky", "деңиз", "Деңиз, чоң суу"), ("tt", "тиңез", "Тиңез, зур су мәйданы")],
+    "su": [("az", "su", "Şəffaf maye, su"), ("uz", "suv", "Suv, hayot manbai"), ("kk", "су", "Су, мөлдір сұйықтық"), ("ky", "суу", "Суу, өмүр булагы"), ("tt", "су", "Су, сыеклык")],
+    "göz": [("az", "göz", "Görmə organı, göz"), ("uz", "ko'z", "Ko'rish a'zosi, ko'z"), ("kk", "көз", "Көру мүшесі, көз"), ("ky", "көз", "Көрүү мүчөсү, көз"), ("tt", "күз", "Күрү әгъзасы, күз")],
+    "kut": [("az", "qut", "Bərəkət, səadət, bəxt"), ("uz", "qut", "Qut, baraka, omad"), ("kk", "құт", "Құт, береке, ырыс"), ("ky", "кут", "Кут, ырыс, жан"), ("tt", "кот", "Кот, бәхет, җан")],
+}
+ENTRY = "headword string, source string, priority int, ordinal int, lang_code string, lang_name string, word string, meaning string"
+
+
+def entries(spark: SparkSession) -> DataFrame:
+    """All entries of all dictionaries, in each one's order; the script follows from the word."""
+    rows = [(h, "cognates", COGNATE_PRIORITY, i, c, LANGUAGES[c], w, m) for h, (_, _, own) in COGNATES.items() for i, (c, (w, m)) in enumerate(own.items())]
+    rows += [(h, "national", NATIONAL_PRIORITY, i, c, NATIONAL_NAMES[c], w, m) for h, own in NATIONAL.items() for i, (c, w, m) in enumerate(own)]
+    return spark.createDataFrame(rows, ENTRY).withColumn("script", W.script(F.col("word")))
+
+
+def roots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(h, COGNATE_PRIORITY, p, m) for h, (p, m, _) in COGNATES.items()], "headword string, priority int, proto string, root_meaning string")
+
+
+def probe(words: DataFrame, spark: SparkSession) -> DataFrame:
+    """Entries whose headword is a variant of a ``query_word``: one broadcast join for all words, variants and dictionaries."""
+    variants = F.array_distinct(F.concat(F.array("query_word", W.strip_suffixes(F.col("query_word"))["stem"]), W.variants(F.col("query_word"))))
+    asked = words.select("query_word", F.posexplode(variants).alias("variant", "headword"))
+    return asked.join(F.broadcast(entries(spark)), "headword").drop("headword")

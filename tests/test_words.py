@@ -80,3 +80,12 @@ def test_sql(spark, name):
 
 def test_entry_imports():
     assert importlib.import_module("__spark_entry__").queries()
+
+
+def test_search(spark):
+    from lexichron.plans.search import search
+
+    got = {r.query_word: r for r in search(spark.createDataFrame([(" Su ",), ("göz",), ("xyz",)], "query_word string"), spark).collect()}
+    assert set(got) == {"su", "göz"}
+    assert got["su"].proto_root == "*sub" and {"otk", "tr", "az", "kk"} <= {e.lang_code for e in got["su"].entries}
+    assert got["su"].entries[0].lang_code == "otk" and len(got["su"].entries) > 5
