@@ -98,7 +98,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     if not sizes:
         return []
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bad_{r}").cast("int").alias("bad")) for r in RULES])).alias("x")
-    bars = held.join(enough, "stratum", "left_semi").select("stratum", each).groupBy("stratum", "x.rule", "x.bad").count().collect()  # at most strata x rules x 1001 rows
+    bars = held.where(F.col("stratum").isin(list(sizes))).select("stratum", each).groupBy("stratum", "x.rule", "x.bad").count().collect()  # at most strata x rules x 1001 rows
     found = []
     for stratum, n in sorted(sizes.items()):
         for rule in RULES:
