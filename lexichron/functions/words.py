@@ -81,6 +81,11 @@ def candidates(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(latin, F.transform(latin, to_cyrillic), roots)))
 
 
+def has_candidates(c: Column) -> Column:
+    """Whether a word has a candidate besides itself; its Cyrillic form settles that for nearly every word."""
+    return F.when(to_cyrillic(c) != c, True).otherwise(F.size(candidates(c)) > 1)
+
+
 def variants(c: Column) -> Column:
     """The word first, then its other candidates; none for an empty word."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(c), F.array_remove(candidates(c), c)))

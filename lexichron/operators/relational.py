@@ -59,7 +59,7 @@ def referee(hypotheses: DataFrame) -> DataFrame:
     pairs = base.select(W.letters(F.col("from"), S.ALPHABET_A).alias("a"), W.letters(F.col("word"), S.ALPHABET_A).alias("b")).distinct()
     aligned = pairs.withColumn("al", alignment("a", "b"))
     base = base.withColumn("a", W.letters(F.col("from"), S.ALPHABET_A)).withColumn("b", W.letters(F.col("word"), S.ALPHABET_A)).join(aligned, ["a", "b"])
-    moved = drift(base.select("id", F.lower("meaning").alias("meaning"), F.lower("proof").alias("proof")), "id", "meaning", "proof")
+    moved = drift(hypotheses.select("id", F.lower("meaning").alias("meaning"), F.lower("proof").alias("proof")), "id", "meaning", "proof")
     known = (F.coalesce("meaning", F.lit("")) != "") & (F.coalesce("proof", F.lit("")) != "")
     source = F.concat(F.coalesce("donor", F.lit("")), F.lit(" "), F.coalesce("proof", F.lit("")))
     staged = base.join(moved, "id").select(
@@ -69,7 +69,7 @@ def referee(hypotheses: DataFrame) -> DataFrame:
         W.round_n(F.col("chain.score") * 0.6 + F.col("al.similarity") * 0.4, 3).alias("sound"),
         W.time_lock(source, F.col("attestation")).alias("time_valid"),
         F.when(known, F.greatest(F.lit(0.20), W.round_n(1.0 - F.col("distance"), 3))).otherwise(0.85).alias("sense"),
-        F.when(F.size(W.candidates(W.normalise(F.col("word")))) > 1, 0.95).otherwise(0.60).alias("cognate"),
+        F.when(W.has_candidates(W.normalise(F.col("word"))), 0.95).otherwise(0.60).alias("cognate"),
     )
     score = F.col("sound") * 0.35 + F.col("time_valid").cast("double") * 0.30 + F.col("sense") * 0.15 + F.col("cognate") * 0.20
     score = F.when(F.col("sound_valid"), score).otherwise(score * 0.4)
