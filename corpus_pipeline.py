@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexichron.llm._common import materialise, table
 from lexichron.llm.decontamination import drop_contaminated
@@ -66,4 +65,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{folder}/{i}-{name}"
             docs.write.mode("overwrite").parquet(path)
             docs = spark.read.parquet(path)
-    return docs.select("*", F.lit(len(STAGES)).alias("stages"))
+    return docs
