@@ -21,13 +21,28 @@ def round_n(c: Column, n: int) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.lower(strip(c))
 
 
 def unstar(c: Column) -> Column:
     return F.regexp_replace(c, r"^\*+", "")
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def holds(c: Column, parts) -> Column:
+    """Whether the text holds one of the parts as it is written."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts], F.lit(False))
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with each {} replaced by the next value."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))])
+
+
 def letters(c: Column, alphabet: str) -> Column:
     return F.regexp_replace(unstar(F.lower(c)), f"[^{alphabet}]", "")
 
@@ -36,6 +51,64 @@ def script(c: Column) -> Column:
     return F.when(c.rlike("[Ѐ-ӿ]"), "Cyrillic").when(c.rlike("[؀-ۿ]"), "Arabic").when(c.rlike("[Ͱ-Ͽ]"), "Greek").otherwise("Latin")
 
 
+def to_latin(c: Column) -> Column:
+    """Cyrillic and Arabic letters in Latin ones, capitals kept; other signs stay, and so does a text without either script."""
+    table = S.CYRILLIC_LATIN | {k.upper(): v.upper() for k, v in S.CYRILLIC_LATIN.items()} | S.ARABIC_LATIN
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    dropped = [k for k, v in table.items() if not v]
+    plain = F.translate(c, "".join(single) + "".join(dropped), "".join(single.values()))
+    spelled = reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), [(k, v) for k, v in table.items() if len(v) > 1], plain)
+    return F.when(c.rlike("[Ѐ-ӿ؀-ۿ]"), spelled).otherwise(c)
+
+
+def translate_meaning(c: Column) -> Column:
+    """A meaning by the first English key that it holds, else bare of templates and link brackets; placeholders and null stay."""
+    m = strip(c)
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(m, r"\{\{.*?\}\}", "")), r"\[\[(.*?)\]\]", "$1"))
+    known = F.coalesce(*[F.when(F.contains(F.lower(bare), F.lit(k)), F.lit(v)) for k, v in S.MEANINGS])
+    return F.when((m == "") | F.startswith(m, F.lit("Online")), m).otherwise(F.coalesce(known, F.nullif(bare, F.lit("")), c))
+
+
+def timeline(entries: Column) -> Column:
+    """A line for each entry whose language name tells a period, in the entries' order, each line once."""
+
+    def line(e: Column) -> Column:
+        name, word = e["lang_name"], e["word"]
+        (k1, t1), *rest = S.TIMELINE
+        told = F.when(holds(name, k1), F.concat(F.lit(t1), word, F.lit(" - "), F.substring(e["meaning"], 1, 60)))
+        return reduce(lambda acc, kt: acc.when(holds(name, kt[0]), F.concat(F.lit(kt[1]), word)), rest, told)
+
+    return F.array_distinct(F.filter(F.transform(entries, line), F.isnotnull))
+
+
+def first_record(word: Column, entries: Column | None = None) -> Column:
+    """The record that the first telling entry stands for, else a sentence on the word."""
+    default = filled(S.NO_RECORD, word)
+    if entries is None:
+        return default
+    told = lambda e: F.coalesce(*[F.when(holds(e["lang_name"], names) | holds(e["meaning"], senses), F.lit(text)) for names, senses, text in S.RECORDS])
+    return F.coalesce(F.get(F.filter(F.transform(entries, told), F.isnotnull), F.lit(0)), default)
+
+
+def related(word: Column, entries: Column) -> Column:
+    """At most 12 other words of the entries, each once; fewer than three are filled up with the stem's candidates."""
+    key = lambda w: unstar(F.lower(w))
+    spelled = F.filter(F.transform(entries, lambda e: strip(e["word"])), lambda w: (key(w) != "") & (key(w) != word))
+    keys = F.transform(spelled, key)
+    own = F.filter(spelled, lambda w, i: F.array_position(keys, key(w)) == i + 1)
+    more = F.filter(candidates(strip_suffixes(word)["stem"]), lambda w: (w != word) & ~F.array_contains(keys, w))
+    return F.slice(F.when(F.size(own) < 3, F.concat(own, more)).otherwise(own), 1, 12)
+
+
+def change_names(a: Column, b: Column) -> Column:
+    """Names of the shifts between two lower-case words."""
+    starts = lambda c, x: F.startswith(c, F.lit(x))
+    has = lambda c, x: F.contains(c, F.lit(x))
+    cases = [starts(a, "k") & starts(b, "h"), starts(a, "t") & starts(b, "d"), (has(a, "r") & has(b, "l")) | (has(a, "l") & has(b, "r"))]
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in zip(cases, S.CHANGES, strict=True)]), F.isnotnull)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(S.NO_CHANGE)))
+
+
 def first_letter(c: Column) -> Column:
     return F.substring(c, 1, 1)
 
@@ -133,6 +206,10 @@ def hamming_table() -> dict[tuple[str, str], float]:
     return out
 
 
+def neologism_proof(c: Column) -> Column:
+    return filled(S.NEOLOGISM_PROOF, F.element_at(strings(S.NEOLOGISM_NOTES), neologism(c)))
+
+
 def ipa(c: Column) -> Column:
     spelled = F.translate(c, S.IPA_FROM, S.IPA_TO)
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), S.IPA_PAIRS, spelled)
@@ -261,10 +338,15 @@ def spread(languages: Column) -> Column:
     return F.struct(F.least(ratio, F.lit(1.0)).alias("ratio"), score.alias("score"), label.alias("assessment"))
 
 
-def html_text(c: Column) -> Column:
-    """Text of the first ten blocks of 30 characters or more, else of the whole page."""
-    bare = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")
-    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]+>", " "), r"\s+", " "))
-    blocks = F.slice(F.regexp_extract_all(bare, F.lit(r"(?is)<(?:p|article|blockquote)\b[^>]*>(.*?)</(?:p|article|blockquote)>"), F.lit(1)), 1, 10)
-    long = F.filter(F.transform(blocks, plain), lambda x: F.length(x) >= 30)
-    return F.when(F.size(long) > 0, F.array_join(long, " ")).otherwise(plain(bare))
+def plain_text(c: Column) -> Column:
+    """A page's text without tags, white space run together."""
+    return strip(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", " "), r"(?U)\s+", " "))
+
+
+def html_text(c: Column, length: int = 2500) -> Column:
+    """Up to ``length`` signs of a page: of its first ten blocks those of 30 signs or more that aren't page furniture, or the whole page where it has no blocks."""
+    bare = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+    blocks = F.regexp_extract_all(bare, F.lit(r'(?is)<(?:p|article|blockquote|div[^>]*class="[^"]*content[^"]*")[^>]*>(.*?)</(?:p|article|blockquote|div)>'), F.lit(1))
+    texts = F.transform(F.slice(blocks, 1, 10), lambda x: strip(F.regexp_replace(x, r"(?s)<[^>]+>", " ")))
+    told = F.filter(texts, lambda x: (F.length(x) >= 30) & ~holds(F.lower(x), S.FURNITURE))
+    return F.substring(F.when(F.size(blocks) > 0, plain_text(F.array_join(told, " "))).otherwise(plain_text(bare)), 1, length)

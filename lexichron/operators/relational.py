@@ -80,27 +80,47 @@ def referee(hypotheses: DataFrame) -> DataFrame:
 
 
 def graph_nodes(words: DataFrame) -> DataFrame:
-    """(word, node_id, kind, label) of words with (word, root, attestations, cognates): at most 4 attestations and 5 cognates each."""
+    """(word, node_id, kind, label) of words with (word, root, hypothesis_type, attestations, cognates): the word, its root, the case, at most 4 attestations and 5 cognates."""
     node = lambda i, k, l: F.struct(i.alias("node_id"), F.lit(k).alias("kind"), l.alias("label"))  # noqa: E731, E741
     w, root = F.col("word"), W.unstar(F.coalesce(F.nullif("root", F.lit("")), F.col("word")))
-    fixed = F.array(node(F.concat(F.lit("word_"), w), "Word", w), node(F.concat(F.lit("proto_"), root), "ProtoForm", F.concat(F.lit("*"), root)))
-    some = lambda c, n, p, k: F.transform(F.slice(c, 1, n), lambda x, i: node(F.concat(F.lit(p), w, F.lit("_"), i.cast("string")), k, x))
+    case = F.concat(F.lit("Vaka: "), F.substring(F.coalesce("hypothesis_type", F.lit("Etimoloji Hipotezi")), 1, 25))
+    fixed = F.array(node(F.concat(F.lit("word_"), w), "Word", w), node(F.concat(F.lit("proto_"), root), "ProtoForm", F.concat(F.lit("*"), root)), node(F.concat(F.lit("case_"), w), "Case", case))
+    some = lambda c, n, p, k: F.transform(F.slice(c, 1, n), lambda x, i: node(F.concat(F.lit(p), w, F.lit("_"), i.cast("string")), k, F.substring(x, 1, 30) if k == "Attestation" else x))
     return words.select("word", F.inline(F.concat(fixed, some("attestations", 4, "att_", "Attestation"), some("cognates", 5, "cog_", "Cognate"))))
 
 
 def graph_edges(words: DataFrame) -> DataFrame:
-    """(word, source, target, relation): the word from its root, its attestations, the root to its cognates."""
+    """(word, edge_id, source, target, relation): the word from its root, its case and attestations, the root to its cognates."""
     w, root = F.col("word"), F.concat(F.lit("proto_"), W.unstar(F.coalesce(F.nullif("root", F.lit("")), F.col("word"))))
-    edge = lambda s, t, r: F.struct(s.alias("source"), t.alias("target"), F.lit(r).alias("relation"))
+    edge = lambda s, t, r: F.struct(F.concat(F.lit("edge_"), s, F.lit("_"), t).alias("edge_id"), s.alias("source"), t.alias("target"), F.lit(r).alias("relation"))
     me = F.concat(F.lit("word_"), w)
     ids = lambda c, n, p: F.transform(F.slice(c, 1, n), lambda _, i: F.concat(F.lit(p), w, F.lit("_"), i.cast("string")))
-    every = F.concat(F.array(edge(root, me, "DERIVED_FROM")), F.transform(ids("attestations", 4, "att_"), lambda x: edge(me, x, "ATTESTED_IN")), F.transform(ids("cognates", 5, "cog_"), lambda x: edge(root, x, "COGNATE_OF")))
+    fixed = F.array(edge(root, me, "DERIVED_FROM"), edge(me, F.concat(F.lit("case_"), w), "HAS_CASE"))
+    every = F.concat(fixed, F.transform(ids("attestations", 4, "att_"), lambda x: edge(me, x, "ATTESTED_IN")), F.transform(ids("cognates", 5, "cog_"), lambda x: edge(root, x, "COGNATE_OF")))
     return words.select("word", F.inline(every))
 
 
+def graph_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(word, elements): a word's nodes and edges as one JSON list for viewers, nodes first."""
+    part = lambda df, order: df.select("word", F.struct(F.lit(order).alias("o"), F.to_json(F.struct(F.struct(*[c for c in df.columns if c != "word"]).alias("data"))).alias("e")).alias("x"))
+    both = part(nodes, 0).union(part(edges, 1))
+    listed = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"])
+    return both.groupBy("word").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("elements"))
+
+
 def cldf_forms(entries: DataFrame) -> DataFrame:
-    """CLDF form rows of (word, position, lang_code, form, meaning): ids by position from 1, letters as segments."""
-    return entries.select(F.concat(F.lit("form_"), (F.col("position") + 1).cast("string")).alias("id"), F.col("lang_code").alias("language_id"), F.col("word").alias("parameter_id"), "form", F.array_join(F.filter(F.split("form", ""), lambda x: x != ""), " ").alias("segments"))
+    """CLDF form rows of (word, position, lang_code, form): ids by position from 1, letters as segments."""
+    return entries.select(F.concat(F.lit("form_"), (F.col("position") + 1).cast("string")).alias("id"), F.col("lang_code").alias("language_id"), F.concat(F.lit("param_"), F.col("word")).alias("parameter_id"), "form", F.col("form").alias("value"), F.array_join(F.filter(F.split("form", ""), lambda x: x != ""), " ").alias("segments"))
+
+
+def cldf_cognates(entries: DataFrame, source: str = "lexichron") -> DataFrame:
+    """CLDF cognate rows of (word, root, position, form): one set for each root; a missing root is the word."""
+    number = (F.col("position") + 1).cast("string")
+    return entries.select(F.concat(F.lit("cog_"), number).alias("id"), F.concat(F.lit("form_"), number).alias("form_id"), F.concat(F.lit("cogset_"), F.coalesce("root", "word")).alias("cognateset_id"), F.col("form").alias("alignment"), F.lit(source).alias("source"))
+
+
+def cldf_metadata(words: DataFrame, title: str = "Wordlist - {}") -> DataFrame:
+    return words.select("word", F.lit("1.2").alias("cldf_version"), F.lit("http://cldf.clld.org/v1.0/terms.rdf#Wordlist").alias("conforms_to"), W.filled(title, F.col("word")).alias("title"))
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
@@ -112,3 +132,30 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFra
 def adjacent_pairs(words: DataFrame) -> DataFrame:
     """(a, b): each word and the next in code point order that shares its first three letters."""
     return words.select(F.col("w").alias("a"), F.lead("w").over(Window.partitionBy(F.substring("w", 1, 3)).orderBy("w")).alias("b")).where("b is not null")
+
+
+def stored_list(findings: DataFrame, created: str, number: str) -> DataFrame:
+    """All stored rows, the newest first; of equal times the higher number."""
+    return findings.orderBy(F.desc(created), F.desc(number))
+
+
+def stored_word(findings: DataFrame, word: str) -> DataFrame:
+    """The row of one word, trimmed and lower-cased; the filter reaches the scan."""
+    return findings.where(F.col("query_word") == W.normalise(F.lit(word)))
+
+
+def surviving(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children whose parent is still there (a cascade of deletions)."""
+    return children.join(parents.select(key), key, "left_semi")
+
+
+def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    return children.join(parents.select(key), key, "left_anti")
+
+
+def synthesis(findings: DataFrame) -> DataFrame:
+    """(query_word, text): a finding in a sentence or two, by its hypothesis's donor."""
+    w, h, record = F.col("query_word"), F.col("hypothesis"), W.first_record(F.col("query_word"))
+    loan = W.filled(S.LOAN_TEXT, w, h["donor"], h["origin"], h["proof"], record)
+    own = W.filled(S.NATIVE_TEXT, w, F.col("proto_root"), F.col("root_meaning"), record)
+    return findings.select("query_word", F.when(h["donor"] != S.NATIVE_DONOR, loan).otherwise(own).alias("text"))

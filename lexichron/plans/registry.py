@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import seeds as S
 from ..functions import words as W
 from ..functions.alignment import alignment
+from ..operators import hypotheses as H
 from ..operators import relational as R
 from ..sources import lexicon
-from .search import search
+from .search import finding_json, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,16 +291,24 @@ def embedding_cosine(spark, d):
     return x.join(y, "vec_id").select("vec_id", W.cosine_distance(F.col("embedding"), F.col("next")).alias("distance"))
 
 
+_BARE = r"regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g')"
+_UNTAG = lambda c: rf"regexp_replace(regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _PLAIN = lambda c: rf"trim(regexp_replace(regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_FURNISHED = " OR ".join(f"contains(lower(x), {q(k)})" for k in S.FURNITURE)
 
 
-@query(rf"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages),
-k AS (SELECT page_id, h, list_filter(list_transform(regexp_extract_all(h, '(?is)<(?:p|article|blockquote)\b[^>]*>(.*?)</(?:p|article|blockquote)>', 1)[1:10], lambda x: {_PLAIN('x')}), lambda x: length(x) >= 30) AS l FROM b)
-SELECT page_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ' ') ELSE {_PLAIN('h')} END AS text FROM k""")
+@query(rf"""WITH b AS (SELECT page_id, {_BARE} AS h FROM pages),
+k AS (SELECT page_id, h, list_transform(regexp_extract_all(h, '(?is)<(?:p|article|blockquote|div[^>]*class="[^"]*content[^"]*")[^>]*>(.*?)</(?:p|article|blockquote|div)>', 1)[1:10], lambda x: {_UNTAG('x')}) AS l FROM b)
+SELECT page_id, left(CASE WHEN len(l) > 0 THEN {_PLAIN("array_to_string(list_filter(l, lambda x: length(x) >= 30 AND NOT (" + _FURNISHED + ")), ' ')")} ELSE {_PLAIN('h')} END, 2500) AS text FROM k""")
 def html_text(spark, d):
     return read(spark, d, "pages").select("page_id", W.html_text(F.col("html")).alias("text"))
 
 
+@query(rf"SELECT page_id, {_PLAIN('html')} AS text FROM pages")
+def html_plain(spark, d):
+    return read(spark, d, "pages").select("page_id", W.plain_text(F.col("html")).alias("text"))
+
+
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_props(spark, d):
     return read(spark, d, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
@@ -362,28 +371,63 @@ def store_upsert(spark, d):
 def _words_of(spark, d):
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     w = F.lower("c_name")
-    return c.select(w.alias("word"), F.concat(F.lit("*"), F.lower("n_name")).alias("root"), F.array(F.col("c_name"), F.col("n_name")).alias("attestations"), F.array(w, F.reverse(w)).alias("cognates"))
+    return c.select(w.alias("word"), F.concat(F.lit("*"), F.lower("n_name")).alias("root"), F.lit(S.LOAN_KIND).alias("hypothesis_type"), F.array(F.repeat("c_name", F.lit(3)), F.col("n_name")).alias("attestations"), F.array(w, F.reverse(w)).alias("cognates"))
 
 
 _CN = "c AS (SELECT lower(c_name) AS w, c_name, lower(n_name) AS r, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
-@query(f"""WITH {_CN} SELECT w AS word, unnest(['word_' || w, 'proto_' || r, 'att_' || w || '_0', 'att_' || w || '_1', 'cog_' || w || '_0', 'cog_' || w || '_1']) AS node_id,
- unnest(['Word', 'ProtoForm', 'Attestation', 'Attestation', 'Cognate', 'Cognate']) AS kind, unnest([w, '*' || r, c_name, n_name, w, reverse(w)]) AS label FROM c""")
+@query(f"""WITH {_CN} SELECT w AS word, unnest(['word_' || w, 'proto_' || r, 'case_' || w, 'att_' || w || '_0', 'att_' || w || '_1', 'cog_' || w || '_0', 'cog_' || w || '_1']) AS node_id,
+ unnest(['Word', 'ProtoForm', 'Case', 'Attestation', 'Attestation', 'Cognate', 'Cognate']) AS kind, unnest([w, '*' || r, 'Vaka: ' || left({q(S.LOAN_KIND)}, 25), left(repeat(c_name, 3), 30), left(n_name, 30), w, reverse(w)]) AS label FROM c""")
 def graph_nodes(spark, d):
     return R.graph_nodes(_words_of(spark, d))
 
 
-@query(f"""WITH {_CN} SELECT w AS word, unnest(['proto_' || r, 'word_' || w, 'word_' || w, 'proto_' || r, 'proto_' || r]) AS source,
- unnest(['word_' || w, 'att_' || w || '_0', 'att_' || w || '_1', 'cog_' || w || '_0', 'cog_' || w || '_1']) AS target, unnest(['DERIVED_FROM', 'ATTESTED_IN', 'ATTESTED_IN', 'COGNATE_OF', 'COGNATE_OF']) AS relation FROM c""")
+@query(f"""WITH {_CN}, e AS (SELECT w AS word, unnest(['proto_' || r, 'word_' || w, 'word_' || w, 'word_' || w, 'proto_' || r, 'proto_' || r]) AS source,
+ unnest(['word_' || w, 'case_' || w, 'att_' || w || '_0', 'att_' || w || '_1', 'cog_' || w || '_0', 'cog_' || w || '_1']) AS target, unnest(['DERIVED_FROM', 'HAS_CASE', 'ATTESTED_IN', 'ATTESTED_IN', 'COGNATE_OF', 'COGNATE_OF']) AS relation FROM c)
+SELECT *, 'edge_' || source || '_' || target AS edge_id FROM e""")
 def graph_edges(spark, d):
     return R.graph_edges(_words_of(spark, d))
 
 
-@query("SELECT 'form_' || (n_nationkey + 1) AS id, CAST(n_regionkey AS VARCHAR) AS language_id, n_name AS parameter_id, lower(n_name) AS form, array_to_string(string_split(lower(n_name), ''), ' ') AS segments FROM nation")
+@query()
+def graph_elements(spark, d):
+    words = _words_of(spark, d)
+    return R.graph_elements(R.graph_nodes(words), R.graph_edges(words))
+
+
+def _forms(spark, d):
+    return read(spark, d, "nation").select(F.col("n_name").alias("word"), F.concat(F.lit("*"), F.lower("n_name")).alias("root"), F.col("n_nationkey").alias("position"), F.col("n_regionkey").cast("string").alias("lang_code"), F.lower("n_name").alias("form"))
+
+
+@query("SELECT 'form_' || (n_nationkey + 1) AS id, CAST(n_regionkey AS VARCHAR) AS language_id, 'param_' || n_name AS parameter_id, lower(n_name) AS form, lower(n_name) AS value, array_to_string(string_split(lower(n_name), ''), ' ') AS segments FROM nation")
 def cldf_forms(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_name").alias("word"), F.col("n_nationkey").alias("position"), F.col("n_regionkey").cast("string").alias("lang_code"), F.lower("n_name").alias("form"))
-    return R.cldf_forms(n)
+    return R.cldf_forms(_forms(spark, d))
+
+
+@query("SELECT 'cog_' || (n_nationkey + 1) AS id, 'form_' || (n_nationkey + 1) AS form_id, 'cogset_*' || lower(n_name) AS cognateset_id, lower(n_name) AS alignment, 'lexichron' AS source FROM nation")
+def cldf_cognates(spark, d):
+    return R.cldf_cognates(_forms(spark, d))
+
+
+@query("SELECT n_name AS word, '1.2' AS cldf_version, 'http://cldf.clld.org/v1.0/terms.rdf#Wordlist' AS conforms_to, 'Wordlist - ' || n_name AS title FROM nation")
+def cldf_metadata(spark, d):
+    return R.cldf_metadata(_forms(spark, d))
+
+
+@query("SELECT conv_id, turn, role FROM conversations ORDER BY turn DESC, conv_id DESC")
+def store_list(spark, d):
+    return R.stored_list(read(spark, d, "conversations").select("conv_id", "turn", "role"), "turn", "conv_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def store_orphans(spark, d):
+    return R.orphans(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels").select("doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def store_cascade(spark, d):
+    return R.surviving(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 @query(f"WITH {T}, {CLASSIFIED}, l AS (SELECT DISTINCT quality, w FROM (SELECT quality, unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS w FROM documents JOIN labels USING (doc_id))) SELECT quality, classification, count(*) AS words FROM l JOIN c USING (w) GROUP BY quality, classification")
@@ -400,12 +444,80 @@ def referee(spark, d):
     return R.referee(h)
 
 
+def _heads(spark, d):
+    heads = lexicon.entries(spark).select(F.col("headword").alias("query_word")).distinct()
+    return heads.union(tokens(spark, d).select("w")).distinct()
+
+
+@query()
+def prove_native(spark, d):
+    words = _heads(spark, d)
+    found = words.join(lexicon.probe_roots(words, spark), "query_word", "left").withColumn("meaning", W.translate_meaning(F.col("root_meaning")))
+    return H.native(found, spark)
+
+
+@query()
+def prove_unattested(spark, d):
+    return H.unattested(_heads(spark, d))
+
+
 @query()
 def search_offline(spark, d):
     """The headwords of the dictionaries and all document words, searched together."""
-    heads = lexicon.entries(spark).select(F.col("headword").alias("query_word")).distinct()
-    found = search(heads.union(tokens(spark, d).select("w")), spark)
-    return found.withColumns({"entries": F.to_json("entries"), "cognates": F.array_join("cognates", " | ")})
+    found = search(_heads(spark, d), spark)
+    return found.withColumns({c: F.to_json(c) for c in ("entries", "hypothesis")} | {c: F.array_join(c, " | ") for c in ("timeline", "cognates", "sources")})
+
+
+@query()
+def findings_json(spark, d):
+    return finding_json(search(lexicon.entries(spark).select(F.col("headword").alias("query_word")), spark))
+
+
+@query()
+def synthesis(spark, d):
+    return R.synthesis(search(lexicon.entries(spark).select(F.col("headword").alias("query_word")), spark))
+
+
+_LEXICON = "x(headword, source, priority, ordinal, lang_code, lang_name, word, meaning, script) AS (VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in lexicon.entry_rows()) + ")"
+_SCRIPT = "coalesce(script, CASE WHEN regexp_matches(word, '[Ѐ-ӿ]') THEN 'Cyrillic' WHEN regexp_matches(word, '[؀-ۿ]') THEN 'Arabic' WHEN regexp_matches(word, '[Ͱ-Ͽ]') THEN 'Greek' ELSE 'Latin' END)"
+
+
+@query(f"WITH {_LEXICON} SELECT headword, source, priority, ordinal, lang_code, lang_name, word, meaning, {_SCRIPT} AS script FROM x")
+def lexicon_entries(spark, d):
+    return lexicon.entries(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in lexicon.root_rows()) + ") AS t(headword, source, priority, proto, meaning, notes)")
+def lexicon_roots(spark, d):
+    return lexicon.roots(spark)
+
+
+@query(f"WITH {_LEXICON} SELECT headword, source, ordinal, CASE {' '.join('WHEN ' + ' OR '.join(f'contains(lang_name, {q(k)})' for k in keys) + f' THEN {q(text)} || word' + (chr(32) + '|| chr(32) || chr(45) || chr(32) || left(meaning, 60)' if i == 0 else '') for i, (keys, text) in enumerate(S.TIMELINE))} END AS line FROM x")
+def timeline_lines(spark, d):
+    return lexicon.entries(spark).select("headword", "source", "ordinal", F.get(W.timeline(F.array(F.struct("lang_name", "word", "meaning"))), F.lit(0)).alias("line"))
+
+
+@query(f"WITH {T}, c AS (SELECT w, replace(translate(w, '{S.CYRILLIC_FROM}', '{S.CYRILLIC_TO}'), 'c', '{S.CYRILLIC_C}') AS x FROM t) SELECT w, " + "replace(" * sum(len(v) > 1 for v in S.CYRILLIC_LATIN.values()) + "translate(x, " + q("".join(k for k, v in S.CYRILLIC_LATIN.items() if len(v) == 1) + "ъь") + ", " + q("".join(v for v in S.CYRILLIC_LATIN.values() if len(v) == 1)) + ")" + "".join(f", {q(k)}, {q(v)})" for k, v in S.CYRILLIC_LATIN.items() if len(v) > 1) + " AS latin FROM c")
+def to_latin(spark, d):
+    return tokens(spark, d).select("w", W.to_latin(W.to_cyrillic(F.col("w"))).alias("latin"))
+
+
+_SENSES = ["{{lb|x}} [[Water]] and ", "a [[sea]] / ocean ", "Online ", " [[plain]] ", "{{gloss}} the soul of "]
+
+
+@query(rf"""WITH m AS (SELECT c_custkey, {listed(_SENSES)}[1 + c_custkey % {len(_SENSES)}] || c_name AS x FROM customer),
+b AS (SELECT c_custkey, trim(x) AS m, trim(regexp_replace(trim(regexp_replace(trim(x), '\{{\{{.*?\}}\}}', '', 'g')), '\[\[(.*?)\]\]', '\1', 'g')) AS b FROM m)
+SELECT c_custkey, CASE WHEN m = '' OR starts_with(m, 'Online') THEN m {' '.join(f"WHEN contains(lower(b), {q(k)}) THEN {q(v)}" for k, v in S.MEANINGS)} WHEN b <> '' THEN b ELSE m END AS meaning FROM b""")
+def meaning_translate(spark, d):
+    sense = F.element_at(W.strings(_SENSES), (F.col("c_custkey") % len(_SENSES) + 1).cast("int"))
+    return read(spark, d, "customer").select("c_custkey", W.translate_meaning(F.concat(sense, F.col("c_name"))).alias("meaning"))
+
+
+@query(f"""WITH {P}, k AS (SELECT a, b, list_filter([CASE WHEN starts_with(a, 'k') AND starts_with(b, 'h') THEN {q(S.CHANGES[0])} END, CASE WHEN starts_with(a, 't') AND starts_with(b, 'd') THEN {q(S.CHANGES[1])} END,
+ CASE WHEN (contains(a, 'r') AND contains(b, 'l')) OR (contains(a, 'l') AND contains(b, 'r')) THEN {q(S.CHANGES[2])} END], lambda x: x IS NOT NULL) AS n FROM p)
+SELECT a, b, CASE WHEN len(n) > 0 THEN array_to_string(n, '; ') ELSE {q(S.NO_CHANGE)} END AS changes FROM k""")
+def sound_changes(spark, d):
+    return pairs(spark, d).select("a", "b", F.array_join(W.change_names(F.col("a"), F.col("b")), "; ").alias("changes"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(q(x) for x in (h, c, w)) + ")" for h, (_, _, own) in lexicon.COGNATES.items() for c, (w, _) in own.items()) + ") AS t(headword, lang_code, word)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as W
+from . import dictionaries as D
 
 # Language codes and names.
 LANGUAGES = {
@@ -42,22 +43,81 @@ NATIONAL = {
     "göz": [("az", "göz", "Görmə organı, göz"), ("uz", "ko'z", "Ko'rish a'zosi, ko'z"), ("kk", "көз", "Көру мүшесі, көз"), ("ky", "көз", "Көрүү мүчөсү, көз"), ("tt", "күз", "Күрү әгъзасы, күз")],
     "kut": [("az", "qut", "Bərəkət, səadət, bəxt"), ("uz", "qut", "Qut, baraka, omad"), ("kk", "құт", "Құт, береке, ырыс"), ("ky", "кут", "Кут, ырыс, жан"), ("tt", "кот", "Кот, бәхет, җан")],
 }
-ENTRY = "headword string, source string, priority int, ordinal int, lang_code string, lang_name string, word string, meaning string"
+#: Each dictionary's place in the order in which sources are believed.
+PRIORITIES = {"academic": 1, "historical": 2, "encyclopaedia": 3, "ottoman": 6, "national": NATIONAL_PRIORITY, "donors": 10, "books": 11, "notes": 12, "cognates": COGNATE_PRIORITY}
+ENTRY = "headword string, source string, priority int, ordinal int, lang_code string, lang_name string, word string, meaning string, script string"
+ROOT = "headword string, source string, priority int, proto string, meaning string, notes string"
+NOTE_LENGTH = 180
+
+
+def entry_rows() -> list[tuple]:
+    """(headword, source, priority, ordinal, lang_code, lang_name, word, meaning, script) of all dictionaries; a null script follows from the word."""
+    found: list[tuple] = []
+
+    def add(source: str, headword: str, rows: list[tuple]) -> None:
+        found.extend((headword, source, PRIORITIES[source], i, *r) for i, r in enumerate(rows))
+
+    for h, (_, _, _, own) in D.ACADEMIC.items():
+        add("academic", h, [(c, LANGUAGES[c], w, m, None) for c, (w, m) in own.items()])
+    for h, texts in D.HISTORICAL.items():
+        add("historical", h, [(c, name, h, text, kind) for (c, name, kind), text in zip(D.HISTORICAL_WORKS, texts, strict=True)])
+    for h, text in D.ENCYCLOPAEDIA.items():
+        add("encyclopaedia", h, [("otk", D.ENCYCLOPAEDIA_NAME, h, text, "Latin")])
+    for h, (w, m) in D.OTTOMAN.items():
+        add("ottoman", h, [("ota", D.OTTOMAN_NAME, w, m, "Arabic")])
+    for h, own in NATIONAL.items():
+        add("national", h, [(c, NATIONAL_NAMES[c], w, m, None) for c, w, m in own])
+    for h, (lang, w, m, inner, _) in D.DONORS.items():
+        add("donors", h, [("donor", f"Kaynak Dil Etimolojisi ({lang})", w, f"Kaynak Anlamı: {m} | Kendi İçi Türeyiş: {inner}", None)])
+    for h, own in D.BOOKS.items():
+        add("books", h, [("otk", f"Yerel PDF Kitap Taraması (Sayfa {page})", h, f"Kitap: {book} | Metin: {text}", "Latin") for book, page, text in own])
+    for h, own in D.NOTES.items():
+        add("notes", h, [("otk", D.NOTES_NAME, h, " | ".join(own)[:NOTE_LENGTH] + "...", "Latin")])
+    for h, (_, _, own) in COGNATES.items():
+        add("cognates", h, [(c, LANGUAGES[c], w, m, None) for c, (w, m) in own.items()])
+    return found
+
+
+def root_rows() -> list[tuple]:
+    """(headword, source, priority, proto, meaning, notes) of the dictionaries that say something of a root."""
+    rows = [("academic", h, p, m, n) for h, (p, m, n, _) in D.ACADEMIC.items()]
+    rows += [("encyclopaedia", h, "", "", text) for h, text in D.ENCYCLOPAEDIA.items()]
+    rows += [("ottoman", h, "", "", f"Osmanlıca Lügat Kaydı: {m}") for h, (_, m) in D.OTTOMAN.items()]
+    rows += [("donors", h, "", "", f"[{lang}] Orijinal İmla: {w} | Kaynak Anlam: {m} | Kendi İçi Etimoloji: {inner} | Geçiş Yörüngesi: {way}") for h, (lang, w, m, inner, way) in D.DONORS.items()]
+    rows += [("books", h, "", "", f"Metin İçi Kitap Kaydı: {own[-1][0]} (s. {own[-1][1]})") for h, own in D.BOOKS.items()]
+    rows += [("notes", h, "", "", " | ".join(own)) for h, own in D.NOTES.items()]
+    rows += [("cognates", h, p, m, f"Starling / Tower of Babel Proto-Turkic reconstruction {p}") for h, (p, m, _) in COGNATES.items()]
+    return [(h, s, PRIORITIES[s], p, m, n) for s, h, p, m, n in rows]
 
 
 def entries(spark: SparkSession) -> DataFrame:
-    """All entries of all dictionaries, in each one's order; the script follows from the word."""
-    rows = [(h, "cognates", COGNATE_PRIORITY, i, c, LANGUAGES[c], w, m) for h, (_, _, own) in COGNATES.items() for i, (c, (w, m)) in enumerate(own.items())]
-    rows += [(h, "national", NATIONAL_PRIORITY, i, c, NATIONAL_NAMES[c], w, m) for h, own in NATIONAL.items() for i, (c, w, m) in enumerate(own)]
-    return spark.createDataFrame(rows, ENTRY).withColumn("script", W.script(F.col("word")))
+    """All entries of all dictionaries, in each one's order."""
+    return spark.createDataFrame(entry_rows(), ENTRY).withColumn("script", F.coalesce("script", W.script(F.col("word"))))
 
 
 def roots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, COGNATE_PRIORITY, p, m) for h, (p, m, _) in COGNATES.items()], "headword string, priority int, proto string, root_meaning string")
+    return spark.createDataFrame(root_rows(), ROOT)
+
+
+def donors(spark: SparkSession) -> DataFrame:
+    """(headword, donor_language, origin_form, etymology, donor_meaning) of known loanwords."""
+    rows = [(h, lang, w, inner, f"Kaynak Anlamı: {m} | Geçiş Yörüngesi: {way}") for h, (lang, w, m, inner, way) in D.DONORS.items()]
+    return spark.createDataFrame(rows, "headword string, donor_language string, origin_form string, etymology string, donor_meaning string")
+
+
+def asked(words: DataFrame) -> DataFrame:
+    """(query_word, variant, headword): what to look up for each ``query_word``, in order: itself, its stem, its other forms."""
+    variants = F.array_distinct(F.concat(F.array("query_word", W.strip_suffixes(F.col("query_word"))["stem"]), W.variants(F.col("query_word"))))
+    return words.select("query_word", F.posexplode(variants).alias("variant", "headword"))
 
 
 def probe(words: DataFrame, spark: SparkSession) -> DataFrame:
     """Entries whose headword is a variant of a ``query_word``: one broadcast join for all words, variants and dictionaries."""
-    variants = F.array_distinct(F.concat(F.array("query_word", W.strip_suffixes(F.col("query_word"))["stem"]), W.variants(F.col("query_word"))))
-    asked = words.select("query_word", F.posexplode(variants).alias("variant", "headword"))
-    return asked.join(F.broadcast(entries(spark)), "headword").drop("headword")
+    return asked(words).join(F.broadcast(entries(spark)), "headword").drop("headword")
+
+
+def probe_roots(words: DataFrame, spark: SparkSession) -> DataFrame:
+    """(query_word, proto, root_meaning): the first that isn't empty, by source and then by variant."""
+    met = asked(words).join(F.broadcast(roots(spark)), "headword").withColumn("order", F.struct("priority", "variant"))
+    first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("order")))
+    return met.groupBy("query_word").agg(first("proto").alias("proto"), first("meaning").alias("root_meaning"))

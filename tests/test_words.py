@@ -1,6 +1,7 @@
 """Golden values of the word operators, and every query against its SQL on the smallest tables."""
 
 import importlib
+import json
 
 import duckdb
 import pytest
@@ -83,9 +84,37 @@ def test_entry_imports():
 
 
 def test_search(spark):
-    from lexichron.plans.search import search
+    from lexichron.plans.search import finding_json, search
 
-    got = {r.query_word: r for r in search(spark.createDataFrame([(" Su ",), ("göz",), ("xyz",)], "query_word string"), spark).collect()}
-    assert set(got) == {"su", "göz"}
-    assert got["su"].proto_root == "*sub" and {"otk", "tr", "az", "kk"} <= {e.lang_code for e in got["su"].entries}
-    assert got["su"].entries[0].lang_code == "otk" and len(got["su"].entries) > 5
+    words = spark.createDataFrame([(" Su ",), ("göz",), ("xyz",), ("kitap",), ("tetik",), ("",)], "query_word string")
+    found = search(words, spark).cache()
+    got = {r.query_word: r for r in found.collect()}
+    assert set(got) == {"su", "göz", "xyz", "kitap", "tetik"}
+    assert got["su"].proto_root == "*sub" and {"otk", "tr", "az", "kk", "ota", "chg"} <= {e.lang_code for e in got["su"].entries}
+    assert got["su"].entries[0].lang_code == "otk" and got["su"].root_meaning == "su, sıvı" and len(got["su"].cognates) == 12
+    assert got["su"].sources == ["academic", "books", "cognates", "encyclopaedia", "historical", "national", "notes", "ottoman"]
+    assert any(t.startswith("14. YY") for t in got["su"].timeline)
+    assert got["tetik"].root_meaning == "uyanık, tetikte, keskin"
+    assert got["kitap"].proto_root == "[Arapça] كتاب (kitāb)" and got["kitap"].entries[0].script == "Original"
+    assert got["xyz"].entries == [] and got["xyz"].assessment == "Veri Katmanında Karşılık Bulunamadı" and got["xyz"].proto_root.startswith("*xy")
+    texts = {r.query_word: json.loads(r.finding) for r in finding_json(found).collect()}
+    assert texts["su"]["entries"][0]["word"] and "phonetic_shift" in texts["kitap"]["entries"][0]
+
+
+def test_hypotheses(spark):
+    from lexichron.operators import hypotheses as H
+
+    words = spark.createDataFrame([("göz", "*göŕ", "göz"), ("bilimsel", None, None), ("kitap", None, ""), ("herkil", None, None), ("fener", "", "x")], "query_word string, proto string, meaning string")
+    got = {r.query_word: r for r in H.native(words, spark).collect()}
+    assert {k: r.hypothesis_type.split("(")[1] for k, r in got.items()} == {"göz": "Native Proto-Turkic Hypothesis)", "bilimsel": "Neologism Hypothesis)", "kitap": "Verified Loanword Hypothesis)", "herkil": "Verified Loanword Hypothesis)", "fener": "Dialect/Loanword Hypothesis)"}
+    assert got["göz"].origin == "*göŕ" and got["göz"].status in ("VALIDATED", "NEEDS_REVIEW") and all(0 <= r.confidence <= 1 for r in got.values())
+    open_ = {r.query_word: r for r in H.unattested(words).collect()}
+    assert open_["göz"].origin == "*göŕ" and open_["fener"].origin == "fener" and open_["bilimsel"].origin == "*bilim"
+
+
+def test_latin(spark):
+    assert [one(spark, W.to_latin, w) for w in ("Жұлдыз съ", "су", "كتاب", "Straße")] == ["ZHұldız s", "su", "كtab", "Straße"]
+
+
+def test_meanings(spark):
+    assert [one(spark, W.translate_meaning, w) for w in ("{{lb|tr}} [[water]]", "Online kayıt", " ", "[[taş]]", "{{x}}")] == ["su, sıvı", "Online kayıt", "", "taş", "{{x}}"]
