@@ -90,13 +90,13 @@ def first_record(word: Column, entries: Column | None = None) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(entries, told), F.isnotnull), F.lit(0)), default)
 
 
-def related(word: Column, entries: Column) -> Column:
+def related(word: Column, stem: Column, entries: Column) -> Column:
     """At most 12 other words of the entries, each once; fewer than three are filled up with the stem's candidates."""
     key = lambda w: unstar(F.lower(w))
     spelled = F.filter(F.transform(entries, lambda e: strip(e["word"])), lambda w: (key(w) != "") & (key(w) != word))
     keys = F.transform(spelled, key)
     own = F.filter(spelled, lambda w, i: F.array_position(keys, key(w)) == i + 1)
-    more = F.filter(candidates(strip_suffixes(word)["stem"]), lambda w: (w != word) & ~F.array_contains(keys, w))
+    more = F.filter(candidates(stem), lambda w: (w != word) & ~F.array_contains(keys, w))
     return F.slice(F.when(F.size(own) < 3, F.concat(own, more)).otherwise(own), 1, 12)
 
 

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import seeds as S
 from ..functions import words as W
 from ..functions.alignment import alignment
-
-DIMENSIONS = 64
-
+from ..functions.drift import DIMENSIONS, meaning_distance
 
 def placeholder(meaning: Column) -> Column:
     return F.coalesce(meaning == "", F.lit(True)) | F.startswith(F.coalesce(meaning, F.lit("")), F.lit("Online"))
@@ -44,26 +42,22 @@ def gram_weights(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def drift(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """(key, distance, acceleration, plausible) between two meanings; blank ones are plausible at distance 0."""
-    a, b = gram_weights(rows, key, old), gram_weights(rows, key, new)
-    dot = a.join(b.withColumnRenamed("weight", "other"), [key, "dim"]).groupBy(key).agg(F.sum(F.col("weight") * F.col("other")).alias("dot"))
-    blank = (F.trim(F.coalesce(old, F.lit(""))) == "") | (F.trim(F.coalesce(new, F.lit(""))) == "")
-    shift = W.round_n(1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("dot", F.lit(0.0)))), 4)
-    judged = rows.select(key, blank.alias("blank")).join(dot, key, "left").select(key, F.when(F.col("blank"), 0.0).otherwise(shift).alias("distance"), "blank")
-    return judged.withColumn("acceleration", W.round_n(F.col("distance") * 1.10, 3)).withColumn("plausible", F.col("acceleration") <= 0.85).drop("blank")
+    judged = rows.select(key, meaning_distance(F.col(old), F.col(new)).alias("distance"))
+    return judged.withColumn("acceleration", W.round_n(F.col("distance") * 1.10, 3)).withColumn("plausible", F.col("acceleration") <= 0.85)
+
 
+def referee(hypotheses: DataFrame, *keep: str) -> DataFrame:
+    """Verdicts on (id, word, origin, donor, proof, meaning, attestation): sounds .35, dates .30, meaning .15, cognates .20.
 
-def referee(hypotheses: DataFrame) -> DataFrame:
-    """Verdicts on (id, word, origin, donor, proof, meaning, attestation): sounds .35, dates .30, meaning .15, cognates .20."""
+    Rows are judged where they lie, nothing is shuffled; the columns named in ``keep`` are passed on."""
     origin = W.unstar(F.trim(F.coalesce("origin", F.lit(""))))
     base = hypotheses.withColumn("from", F.when(origin == "", F.col("word")).otherwise(origin)).withColumn("chain", W.chain(W.normalise(F.col("from")), W.normalise(F.col("word"))))
-    pairs = base.select(W.letters(F.col("from"), S.ALPHABET_A).alias("a"), W.letters(F.col("word"), S.ALPHABET_A).alias("b")).distinct()
-    aligned = pairs.withColumn("al", alignment("a", "b"))
-    base = base.withColumn("a", W.letters(F.col("from"), S.ALPHABET_A)).withColumn("b", W.letters(F.col("word"), S.ALPHABET_A)).join(aligned, ["a", "b"])
-    moved = drift(hypotheses.select("id", F.lower("meaning").alias("meaning"), F.lower("proof").alias("proof")), "id", "meaning", "proof")
+    base = base.withColumns({"a": W.letters(F.col("from"), S.ALPHABET_A), "b": W.letters(F.col("word"), S.ALPHABET_A)})
+    base = base.withColumns({"al": alignment("a", "b"), "distance": meaning_distance(F.lower("meaning"), F.lower("proof"))})
     known = (F.coalesce("meaning", F.lit("")) != "") & (F.coalesce("proof", F.lit("")) != "")
     source = F.concat(F.coalesce("donor", F.lit("")), F.lit(" "), F.coalesce("proof", F.lit("")))
-    staged = base.join(moved, "id").select(
-        "id", "word", F.col("from").alias("origin"), F.col("al.similarity").alias("similarity"),
+    staged = base.select(
+        *keep, "id", "word", F.col("from").alias("origin"), F.col("al.similarity").alias("similarity"),
         (F.col("chain.is_valid") & ((F.col("al.similarity") > 0.15) | (F.col("from") == F.col("word")))).alias("sound_valid"),
         F.col("chain.is_valid").alias("chain_valid"),
         W.round_n(F.col("chain.score") * 0.6 + F.col("al.similarity") * 0.4, 3).alias("sound"),

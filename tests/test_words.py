@@ -118,3 +118,16 @@ def test_latin(spark):
 
 def test_meanings(spark):
     assert [one(spark, W.translate_meaning, w) for w in ("{{lb|tr}} [[water]]", "Online kayıt", " ", "[[taş]]", "{{x}}")] == ["su, sıvı", "Online kayıt", "", "taş", "{{x}}"]
+
+
+def test_drift_kernel(spark):
+    from lexichron.functions.drift import vector
+
+    texts = ["su, sıvı; akarsu", "deniz büyük göl deniz", "teŋiz – 'deniz'  42\tx_y", "a", "", "!!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = {(r.id, r.dim): r.weight for r in R.gram_weights(rows, "id", "text").collect()}
+    for i, text in enumerate(texts):
+        assert [table.get((i, d), 0.0) for d in range(64)] == vector(text).tolist()
+    both = spark.createDataFrame([(1, "su", "su"), (2, "su", None), (3, " ", "su"), (4, "abc", "xyz")], "id long, a string, b string")
+    got = {r.id: r for r in R.drift(both, "id", "a", "b").collect()}
+    assert [got[i].distance for i in (1, 2, 3)] == [0.0, 0.0, 0.0] and got[4].distance > 0.9 and not got[4].plausible
