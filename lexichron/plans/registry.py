@@ -12,7 +12,7 @@ from ..functions import words as W
 from ..functions.alignment import alignment
 from ..operators import hypotheses as H
 from ..operators import relational as R
-from ..sources import lexicon
+from ..sources import lexicon, parsers
 from .search import finding_json, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,6 +449,23 @@ def _heads(spark, d):
     return heads.union(tokens(spark, d).select("w")).distinct()
 
 
+@query("SELECT c_custkey, 'tr' AS lang_code, 'TDK Akademik Terim (TDK Terim Sözlüğü)' AS lang_name, c_name AS word, 'anlam ' || c_custkey AS meaning, 'Latin' AS script FROM customer")
+def parse_terms(spark, d):
+    """Term pages made of customers, parsed as a source's JSON."""
+    body = F.to_json(F.array(F.struct(F.col("c_name").alias("sozcuk"), F.concat(F.lit("anlam "), "c_custkey").alias("anlam"))))
+    made = read(spark, d, "customer").select("c_custkey", F.inline(parsers.terms(F.lower("c_name"), body)))
+    return made
+
+
+@query()
+def parse_pages(spark, d):
+    """Every raw page, parsed as a page of each source of HTML."""
+    html = read(spark, d, "pages")
+    kinds = F.explode(W.strings(["encyclopaedia", "journals", "ottoman", "portal", "etymological", "word_page"])).alias("source_id")
+    found = parsers.parse(html.select(kinds, F.col("url").alias("headword"), F.col("html").alias("body")))
+    return found.withColumn("entries", F.to_json("entries"))
+
+
 @query()
 def prove_native(spark, d):
     words = _heads(spark, d)
