@@ -96,6 +96,7 @@ def test_search(spark):
     assert any(t.startswith("14. YY") for t in got["su"].timeline)
     assert got["tetik"].root_meaning == "uyanık, tetikte, keskin"
     assert got["kitap"].proto_root == "[Arapça] كتاب (kitāb)" and got["kitap"].entries[0].script == "Original"
+    assert "donor table (Arapça)" in got["kitap"].sources
     assert got["xyz"].entries == [] and got["xyz"].assessment == "Veri Katmanında Karşılık Bulunamadı" and got["xyz"].proto_root.startswith("*xy")
     texts = {r.query_word: json.loads(r.finding) for r in finding_json(found).collect()}
     assert texts["su"]["entries"][0]["word"] and "phonetic_shift" in texts["kitap"]["entries"][0]
