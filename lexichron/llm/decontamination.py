@@ -3,11 +3,13 @@
 An item is a small set of shingles, a document may be a large one, and their Jaccard
 similarity is then tiny. So items are partitioned by size (powers of two) and each
 partition looks at a document through windows of twice its size, advanced by half a
-window; the similarity of an item and the window that holds it is then a third or
-more, however long the document. An item and a window are a candidate pair if one of ``HASHES``
+window; the similarity of an item and the window that holds it is then above a quarter,
+however long the document. An item and a window are a candidate pair if one of ``HASHES``
 minima agrees (bands of one row): an item that shares a share c of its shingles with the
 text, in one window or scattered over many, is missed with odds of about
-exp(-HASHES * c / 3). Every candidate is verified on whole sets: shared shingles against
+exp(-HASHES * c / 4). Items of at most ``EXACT`` shingles are looked up instead: an item that
+is held leaves out few of its shingles, so one of any few more is in the text, and those that
+the fewest items share are kept as keys. None of these is missed. Every candidate is verified on whole sets: shared shingles against
 the item's shingles. Nothing is shuffled; the items are the broadcast side, in blocks of
 at most ``BLOCK_ITEMS`` items, and the documents are scanned once for each block."""
 
@@ -24,6 +26,8 @@ from ._common import materialise, only, table
 from ._tokens import pieces, shingles, word_hashes
 
 HASHES = 64
+#: Items of up to so many shingles are found by their shingles themselves, not by minima.
+EXACT = 16
 BLOCK_ITEMS = 20_000
 #: Shingles of the items of one block at most, so that an index stays below about 100 MB; a single longer item is a block of its own.
 BLOCK_SHINGLES = 4_000_000
@@ -35,15 +39,16 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Minima of the items, by size partition and permutation."""
+    """Keys of the small items; minima of the others, by size partition and permutation."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int = 80):
         odd, shift = _permutations()
         self.ids, self.sets = ids, sets
-        classes = [max(4, int(np.ceil(np.log2(len(s))))) for s in sets]
+        self.keys, self.owners = self._keys([i for i, s in enumerate(sets) if len(s) <= EXACT], percent)
+        classes = [0 if len(s) <= EXACT else int(np.ceil(np.log2(len(s)))) for s in sets]
         #: log2 of the partition's size -> for each permutation the sorted minima and the items that have them
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for c in sorted(set(classes)):
+        for c in sorted(set(classes) - {0}):
             own = np.array([i for i, x in enumerate(classes) if x == c])
             self.parts[c] = []
             for p in range(HASHES):
@@ -51,12 +56,35 @@ class Index:
                 order = np.argsort(least, kind="stable")
                 self.parts[c].append((least[order], own[order]))
 
+    def _keys(self, small: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted shingles and the small items they stand for: of each item as many that no text with ``percent`` of them lacks all."""
+        if not small:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        every, shared = np.unique(np.concatenate([self.sets[i] for i in small]), return_counts=True)
+        keys, owners = [], []
+        for i in small:
+            own = self.sets[i]
+            need = min(max(1, -(-percent * len(own) // 100)), len(own))
+            keys.append(own[np.argsort(shared[np.searchsorted(every, own)], kind="stable")[: len(own) - need + 1]])
+            owners.append(np.full(len(keys[-1]), i))
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        return flat[order], np.concatenate(owners)[order]
+
+    def looked_up(self, s: np.ndarray, stops: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) pairs of which the text holds a key of the small item."""
+        first = np.searchsorted(self.keys, s)
+        hits = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == s) if len(self.keys) else np.zeros(0, np.int64)
+        where = np.unique(np.stack([np.searchsorted(stops, hits, "right"), first[hits]]), axis=1)
+        ends = np.searchsorted(self.keys, self.keys[where[1]], "right") if len(hits) else where[1]
+        return {(d, i) for d, a, b in zip(*where.tolist(), ends.tolist(), strict=True) for i in self.owners[a:b].tolist()}
+
     def candidates(self, s: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs of which a window of the text and the item agree in a minimum."""
+        """(text, item) pairs of which the text holds a key of the item, or a window of it and the item agree in a minimum."""
         odd, shift = _permutations()
         x = (s >> np.uint64(32)).astype(np.uint32)
-        found: set[tuple[int, int]] = set()
         stops = np.cumsum(counts)
+        found = self.looked_up(s, stops)
         for c, minima in self.parts.items():
             step = 1 << c  # half a window: a window is two steps that follow each other
             steps = -(-counts // step)
@@ -103,13 +131,13 @@ def _search(blocks: list[Index], percent: int):
     return run
 
 
-def _blocks(items: DataFrame, k: int) -> Iterator[Index]:
+def _blocks(items: DataFrame, k: int, percent: int) -> Iterator[Index]:
     """Items with words, one block of bounded size after another; read as an iterator, never all at once."""
     ids: list[int] = []
     sets: list[np.ndarray] = []
 
     def made() -> Index:
-        index = Index(ids, sets)
+        index = Index(ids, sets, percent)
         index.k = k
         return index
 
@@ -137,7 +165,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     words (null, empty) match nothing. Rows that repeat in ``docs`` or ``items`` count once."""
     found = None
     texts = only(docs, "doc_id", "text")
-    for index in _blocks(items, k):
+    for index in _blocks(items, k, percent):
         part = texts.mapInArrow(_search([index], percent), LINK)
         found = part if found is None else found.union(part)
     if found is None:

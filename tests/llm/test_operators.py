@@ -85,6 +85,23 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.drop_contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == df.count()
 
 
+def test_small_items_in_long_texts(spark):
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [(i, some(5 + i % 4)) for i in range(400)] + [(1000 + i, ["which", "of", "these", "is", "a", *some(1 + i % 3)]) for i in range(100)]
+    rows = []
+    for i in range(0, len(items), 5):
+        t = some(1500)
+        for j, (_, w) in enumerate(items[i : i + 5]):
+            t[j * 300 + 7 : j * 300 + 7] = w[:-1] if rng.random() < 0.1 else w
+        rows.append((i, " ".join(t)))
+    sets = {i: shingles(" ".join(w), 5) for i, w in items}
+    held = {d: shingles(t, 5) for d, t in rows}
+    want = {(d, i): len(held[d] & s) for d in held for i, s in sets.items() if 100 * len(held[d] & s) >= 80 * len(s)}
+    found = decontamination.contained_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.shared for r in found.collect()} == want and len(want) > 400
+
+
 def test_language_model(docs, empty):
     df, rows = docs
     tokens = {r[0]: [*words(r[1]), None] for r in rows}
