@@ -69,8 +69,8 @@ def translate_meaning(c: Column) -> Column:
     return F.when((m == "") | F.startswith(m, F.lit("Online")), m).otherwise(F.coalesce(known, F.nullif(bare, F.lit("")), c))
 
 
-def timeline(entries: Column) -> Column:
-    """A line for each entry whose language name tells a period, in the entries' order, each line once."""
+def timeline(entries: Column, repeats: bool = False) -> Column:
+    """A line for each entry whose language name tells a period, in the entries' order, each line once unless ``repeats`` are asked for."""
 
     def line(e: Column) -> Column:
         name, word = e["lang_name"], e["word"]
@@ -78,7 +78,8 @@ def timeline(entries: Column) -> Column:
         told = F.when(holds(name, k1), F.concat(F.lit(t1), word, F.lit(" - "), F.substring(e["meaning"], 1, 60)))
         return reduce(lambda acc, kt: acc.when(holds(name, kt[0]), F.concat(F.lit(kt[1]), word)), rest, told)
 
-    return F.array_distinct(F.filter(F.transform(entries, line), F.isnotnull))
+    lines = F.filter(F.transform(entries, line), F.isnotnull)
+    return lines if repeats else F.array_distinct(lines)
 
 
 def first_record(word: Column, entries: Column | None = None) -> Column:
@@ -272,6 +273,12 @@ def proto_form(c: Column) -> Column:
     return F.concat(F.lit("*"), F.when(first_letter(c).isin(S.FOREIGN_INITIALS), c).when((l > 0) & (l < r), swapped).otherwise(hard))
 
 
+def reconstruction(c: Column) -> Column:
+    """struct(form, reconstructible, notes) of a word's ancestral form."""
+    foreign, form = first_letter(c).isin(S.FOREIGN_INITIALS), proto_form(c)
+    return F.struct(form.alias("form"), (~foreign).alias("reconstructible"), F.when(foreign, S.NOT_RECONSTRUCTED).otherwise(filled(S.RECONSTRUCTED, c, form)).alias("notes"))
+
+
 def unattested_form(c: Column) -> Column:
     w = letters(normalise(c), S.ALPHABET_B)
     first = F.translate(first_letter(w), "ktm", "gdb")
@@ -290,6 +297,13 @@ def induced_laws(source: Column, target: Column) -> Column:
     return F.when((s == "") | (t == "") | (s == t), F.array().cast("array<string>")).otherwise(F.filter(rules, F.isnotnull))
 
 
+def induction(source: Column, target: Column) -> Column:
+    """struct(rules, confidence) of :func:`induced_laws`: equal or empty words are sure, words without a rule doubtful."""
+    s, t, rules = letters(source, S.ALPHABET_B), letters(target, S.ALPHABET_B), induced_laws(source, target)
+    sure = F.when((s == "") | (t == "") | (s == t), 1.0).when(F.size(rules) > 0, 0.95).otherwise(0.70)
+    return F.struct(rules.alias("rules"), sure.alias("confidence"))
+
+
 def references(c: Column) -> Column:
     found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?iu)" + p), F.lit(1)) for p in S.REFERENCES]))
     return F.filter(F.array_distinct(F.transform(found, F.lower)), lambda x: F.length(x) >= 2)

@@ -10,6 +10,9 @@ from ..functions import words as W
 from ..functions.alignment import alignment
 from ..functions.drift import DIMENSIONS, meaning_distance
 
+GRAPH = ["word", "root", "hypothesis_type", "attestations", "cognates"]
+
+
 def placeholder(meaning: Column) -> Column:
     return F.coalesce(meaning == "", F.lit(True)) | F.startswith(F.coalesce(meaning, F.lit("")), F.lit("Online"))
 
@@ -43,7 +46,13 @@ def gram_weights(rows: DataFrame, key: str, text: str) -> DataFrame:
 def drift(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
     """(key, distance, acceleration, plausible) between two meanings; blank ones are plausible at distance 0."""
     judged = rows.select(key, meaning_distance(F.col(old), F.col(new)).alias("distance"))
-    return judged.withColumn("acceleration", W.round_n(F.col("distance") * 1.10, 3)).withColumn("plausible", F.col("acceleration") <= 0.85)
+    return judged.select(key, drift_of(F.col("distance")).alias("d")).select(key, "d.*")
+
+
+def drift_of(distance: Column) -> Column:
+    """struct(distance, acceleration, plausible)."""
+    speed = W.round_n(distance * 1.10, 3)
+    return F.struct(distance.alias("distance"), speed.alias("acceleration"), (speed <= 0.85).alias("plausible"))
 
 
 def referee(hypotheses: DataFrame, *keep: str) -> DataFrame:
@@ -73,25 +82,34 @@ def referee(hypotheses: DataFrame, *keep: str) -> DataFrame:
     return staged.withColumn("total", score).withColumn("status", status).withColumn("confidence", W.round_n(F.col("total"), 3)).drop("total", "chain_valid")
 
 
-def graph_nodes(words: DataFrame) -> DataFrame:
-    """(word, node_id, kind, label) of words with (word, root, hypothesis_type, attestations, cognates): the word, its root, the case, at most 4 attestations and 5 cognates."""
+def node_list(w: Column, root: Column, hypothesis_type: Column, attestations: Column, cognates: Column) -> Column:
+    """Array of struct(node_id, kind, label): the word, its root, the case, at most 4 attestations and 5 cognates."""
     node = lambda i, k, l: F.struct(i.alias("node_id"), F.lit(k).alias("kind"), l.alias("label"))  # noqa: E731, E741
-    w, root = F.col("word"), W.unstar(F.coalesce(F.nullif("root", F.lit("")), F.col("word")))
-    case = F.concat(F.lit("Vaka: "), F.substring(F.coalesce("hypothesis_type", F.lit("Etimoloji Hipotezi")), 1, 25))
+    root = W.unstar(F.coalesce(F.nullif(root, F.lit("")), w))
+    case = F.concat(F.lit("Vaka: "), F.substring(F.coalesce(hypothesis_type, F.lit("Etimoloji Hipotezi")), 1, 25))
     fixed = F.array(node(F.concat(F.lit("word_"), w), "Word", w), node(F.concat(F.lit("proto_"), root), "ProtoForm", F.concat(F.lit("*"), root)), node(F.concat(F.lit("case_"), w), "Case", case))
     some = lambda c, n, p, k: F.transform(F.slice(c, 1, n), lambda x, i: node(F.concat(F.lit(p), w, F.lit("_"), i.cast("string")), k, F.substring(x, 1, 30) if k == "Attestation" else x))
-    return words.select("word", F.inline(F.concat(fixed, some("attestations", 4, "att_", "Attestation"), some("cognates", 5, "cog_", "Cognate"))))
+    return F.concat(fixed, some(attestations, 4, "att_", "Attestation"), some(cognates, 5, "cog_", "Cognate"))
 
 
-def graph_edges(words: DataFrame) -> DataFrame:
-    """(word, edge_id, source, target, relation): the word from its root, its case and attestations, the root to its cognates."""
-    w, root = F.col("word"), F.concat(F.lit("proto_"), W.unstar(F.coalesce(F.nullif("root", F.lit("")), F.col("word"))))
+def graph_nodes(words: DataFrame) -> DataFrame:
+    """(word, node_id, kind, label) of words with (word, root, hypothesis_type, attestations, cognates), by :func:`node_list`."""
+    return words.select("word", F.inline(node_list(*map(F.col, GRAPH))))
+
+
+def edge_list(w: Column, root: Column, attestations: Column, cognates: Column) -> Column:
+    """Array of struct(edge_id, source, target, relation): the word from its root, its case and attestations, the root to its cognates."""
+    root = F.concat(F.lit("proto_"), W.unstar(F.coalesce(F.nullif(root, F.lit("")), w)))
     edge = lambda s, t, r: F.struct(F.concat(F.lit("edge_"), s, F.lit("_"), t).alias("edge_id"), s.alias("source"), t.alias("target"), F.lit(r).alias("relation"))
     me = F.concat(F.lit("word_"), w)
     ids = lambda c, n, p: F.transform(F.slice(c, 1, n), lambda _, i: F.concat(F.lit(p), w, F.lit("_"), i.cast("string")))
     fixed = F.array(edge(root, me, "DERIVED_FROM"), edge(me, F.concat(F.lit("case_"), w), "HAS_CASE"))
-    every = F.concat(fixed, F.transform(ids("attestations", 4, "att_"), lambda x: edge(me, x, "ATTESTED_IN")), F.transform(ids("cognates", 5, "cog_"), lambda x: edge(root, x, "COGNATE_OF")))
-    return words.select("word", F.inline(every))
+    return F.concat(fixed, F.transform(ids(attestations, 4, "att_"), lambda x: edge(me, x, "ATTESTED_IN")), F.transform(ids(cognates, 5, "cog_"), lambda x: edge(root, x, "COGNATE_OF")))
+
+
+def graph_edges(words: DataFrame) -> DataFrame:
+    """(word, edge_id, source, target, relation) of words with the columns of :func:`graph_nodes`, by :func:`edge_list`."""
+    return words.select("word", F.inline(edge_list(*[F.col(c) for c in GRAPH if c != "hypothesis_type"])))
 
 
 def graph_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -482,7 +482,7 @@ def prove_unattested(spark, d):
 def search_offline(spark, d):
     """The headwords of the dictionaries and all document words, searched together."""
     found = search(_heads(spark, d), spark)
-    return found.withColumns({c: F.to_json(c) for c in ("entries", "hypothesis")} | {c: F.array_join(c, " | ") for c in ("timeline", "cognates", "sources")})
+    return found.withColumns({c: F.to_json(c) for c in ("entries", "hypothesis", "unattested", "probabilities", "reconstruction", "donor_match", "alignment", "drift", "induced_laws", "graph")} | {c: F.array_join(c, " | ") for c in ("timeline", "cognates", "sources")})
 
 
 @query()

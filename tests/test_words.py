@@ -102,6 +102,28 @@ def test_search(spark):
     assert texts["su"]["entries"][0]["word"] and "phonetic_shift" in texts["kitap"]["entries"][0]
 
 
+def test_search_analyses(spark):
+    from lexichron.functions.alignment import align
+    from lexichron.functions.drift import distance
+    from lexichron.plans.search import finding_json, search
+
+    words = spark.createDataFrame([("su",), ("xyz",), ("kitap",), ("fener",)], "query_word string")
+    got = {r.query_word: json.loads(r.finding) for r in finding_json(search(words, spark)).collect()}
+    roots = {"su": "sub", "xyz": got["xyz"]["unattested"]["origin"][1:], "kitap": got["kitap"]["unattested"]["origin"][1:], "fener": "fener"}
+    for w, root in roots.items():
+        f, a = got[w], got[w]["alignment"]
+        assert (a["score"], a["similarity"], a["distance"], a["aligned_source"], a["aligned_target"]) == align(root, w)
+        assert len(a["source_classes"]) == len(root) and set(f["probabilities"]) == {"p_native", "p_arabic_persian", "p_greek_latin", "p_western", "n_violations"}
+        assert f["reconstruction"]["reconstructible"] == (w != "fener") and f["reconstruction"]["form"].startswith("*")
+        assert f["unattested"]["attestation"] and f["unattested"]["status"] and f["graph"]["node_count"] == len(f["graph"]["nodes"]) == 1 + f["graph"]["edge_count"]
+        assert {n["node_id"] for n in f["graph"]["nodes"]} >= {e[k] for e in f["graph"]["edges"] for k in ("source", "target")}
+    assert got["su"]["drift"]["distance"] == distance("su, sıvı", "su") and got["su"]["induced_laws"] == {"rules": ["FINAL_B_U"], "confidence": 0.95}
+    assert got["su"]["hypothesis"] != got["su"]["unattested"] and got["xyz"]["hypothesis"] == got["xyz"]["unattested"]
+    assert got["fener"]["induced_laws"] == {"rules": [], "confidence": 1.0} and not got["fener"]["donor_match"]["found"]
+    assert got["kitap"]["donor_match"]["found"] and got["kitap"]["donor_match"]["donor_language"] == "Arapça"
+    assert "proto_[Arapça] كتاب (kitāb)" in {n["node_id"] for n in got["kitap"]["graph"]["nodes"]}
+
+
 def test_hypotheses(spark):
     from lexichron.operators import hypotheses as H
 
