@@ -218,6 +218,34 @@ def test_bound_is_exact():
         assert not quality_rules.passes(k, n, 0.005, tail * 0.999)
 
 
+def test_every_word_has_its_own_vector(spark):
+    import pyarrow as pa
+
+    from lexichron.llm._tokens import RUNS, word_hashes
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(40_000 * rng.random() ** 2)}" for _ in range(900))) for i in range(90)] + [(90, None), (91, ""), (None, "w1 w2 w2")]
+    hashed = [word_hashes(pa.array([t], pa.string()), lower=False, classes=RUNS)[0].tolist() for _, t in rows]
+    every = sorted({h for t in hashed for h in t})
+    assert len(every) > 20_000
+    index = dict(zip(every, quality_classifier.index_vectors(np.array(every, np.uint64)).astype(int), strict=True))
+    sums, n = {h: np.zeros(quality_classifier.DIMS) for h in every}, Counter(h for t in hashed for h in t)
+    for t in hashed:
+        for i, h in enumerate(t):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(t):
+                    sums[h] += index[t[j]]
+    mean = sum(sums.values()) / sum(n.values())
+    unit = {h: (sums[h] / n[h] - mean) / np.linalg.norm(sums[h] / n[h] - mean) for h in every}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality_classifier.pooled(df).collect()}
+    for (i, _), t in zip(rows, hashed, strict=True):
+        want = np.mean([unit[h] for h in t], axis=0) if t else np.zeros(quality_classifier.DIMS)
+        energy = np.log(float((sum(index[h] for h in t) ** 2).sum()) / (quality_classifier.NONZERO * len(t)) + 0.1) if t else 0.0
+        assert got[i] == pytest.approx([*want, energy, np.log1p(len(t))], abs=1e-4)
+    assert len(got) == len(rows)
+
+
 def test_models(spark, empty):
     rng = random.Random(3)
     common = [f"w{i}" for i in range(300)]
