@@ -267,9 +267,9 @@ def neologism(c: Column) -> Column:
 
 def proto_form(c: Column) -> Column:
     stem = strip_suffixes(c)["stem"]
-    hard = F.when(F.startswith(stem, F.lit("h")), F.concat(F.lit("k"), F.substring(stem, 2, 1000))).when(F.startswith(stem, F.lit("d")), F.concat(F.lit("t"), F.substring(stem, 2, 1000))).otherwise(stem)
+    hard = F.when(F.startswith(stem, F.lit("h")), F.concat(F.lit("k"), F.substr(stem, F.lit(2)))).when(F.startswith(stem, F.lit("d")), F.concat(F.lit("t"), F.substr(stem, F.lit(2)))).otherwise(stem)
     l, r = F.instr(hard, "l"), F.instr(hard, "r")  # noqa: E741
-    swapped = F.concat(F.substr(hard, F.lit(1), l - 1), F.lit("r"), F.substr(hard, l + 1, r - l - 1), F.lit("l"), F.substr(hard, r + 1, F.lit(1000)))
+    swapped = F.concat(F.substr(hard, F.lit(1), l - 1), F.lit("r"), F.substr(hard, l + 1, r - l - 1), F.lit("l"), F.substr(hard, r + 1))
     return F.concat(F.lit("*"), F.when(first_letter(c).isin(S.FOREIGN_INITIALS), c).when((l > 0) & (l < r), swapped).otherwise(hard))
 
 
@@ -282,7 +282,7 @@ def reconstruction(c: Column) -> Column:
 def unattested_form(c: Column) -> Column:
     w = letters(normalise(c), S.ALPHABET_B)
     first = F.translate(first_letter(w), "ktm", "gdb")
-    return F.when(w == "", F.lit("")).otherwise(F.concat(F.lit("*"), first, F.regexp_replace(F.substring(w, 2, 1000), "[zs]$", "ŕ")))
+    return F.when(w == "", F.lit("")).otherwise(F.concat(F.lit("*"), first, F.regexp_replace(F.substr(w, F.lit(2)), "[zs]$", "ŕ")))
 
 
 def induced_laws(source: Column, target: Column) -> Column:

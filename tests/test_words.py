@@ -102,6 +102,13 @@ def test_search(spark):
     assert texts["su"]["entries"][0]["word"] and "phonetic_shift" in texts["kitap"]["entries"][0]
 
 
+def test_long_words_stay_whole(spark):
+    tail = "ka" * 1500
+    assert one(spark, W.proto_form, "d" + tail + "k") == "*t" + tail + "k"
+    assert one(spark, W.proto_form, "al" + tail + "r" + tail + "k") == "*ar" + tail + "l" + tail + "k"
+    assert one(spark, W.unattested_form, "k" + tail + "z") == "*g" + tail + "ŕ"
+
+
 def test_search_analyses(spark):
     from lexichron.functions.alignment import align
     from lexichron.functions.drift import distance
