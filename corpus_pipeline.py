@@ -7,12 +7,11 @@ tests hold each stage against a brute-force version."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexichron.llm._common import materialise, table
+from lexichron.llm._common import stored, table
 from lexichron.llm.decontamination import drop_contaminated
 from lexichron.llm.mixing import mixed_documents
 from lexichron.llm.near_duplicates import drop_near_duplicates
@@ -57,12 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between two of them the rows are written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    materialise(spark.range(1))  # sets a checkpoint folder where there is none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{folder}/{i}-{name}"
-            docs.write.mode("overwrite").parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs)
     return docs

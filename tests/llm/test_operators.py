@@ -49,9 +49,16 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize("family", [4_000_000, 200])
-def test_near_duplicates(docs, family):
+@pytest.mark.parametrize(("sets_", "large"), [(128, False), (4, False), (4, True), (2, True)])
+def test_near_duplicates(spark, docs, monkeypatch, sets_, large):
+    monkeypatch.setattr(near_duplicates, "CHUNK_SETS", sets_)
     df, rows = docs
+    if large:  # a family of several chunks that falls into components: copies with more and more words changed, in two sizes
+        base = [f"b{i}" for i in range(200)]
+        rows = [(i, " ".join(("z%d" % i) if j % 53 == i % 7 and j < 60 * (i % 5) else w for j, w in enumerate(base[: 200 - 12 * (i % 3)]))) for i in range(70)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    again, across = [], near_duplicates._across
+    monkeypatch.setattr(near_duplicates, "_across", lambda *a: again.append(1) or across(*a))
     sets = {r[0]: shingles(r[1], 4) for r in rows}
     root = {i: i for i in sets}
 
@@ -65,16 +72,26 @@ def test_near_duplicates(docs, family):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = {r.doc_id: r for r in near_duplicates.near_duplicates(df, 4, 80, family).collect()}
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(df, 4, 80).collect()}
     assert {i: (len(s), find(i), find(i) == i) for i, s in sets.items()} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
+    assert bool(again) == large and len({find(i) for i in sets}) > 1
 
 
 def test_near_duplicates_drop(docs, empty):
-    kept = near_duplicates.drop_near_duplicates(docs[0]).select("doc_id").distinct().count()
-    assert kept < docs[0].count()
+    df, rows = docs
+    kept = near_duplicates.drop_near_duplicates(df)
+    found = {r.doc_id for r in near_duplicates.near_duplicates(df).collect() if r.kept}
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(found) and len(found) < len(rows)
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_drop_goes_by_row(spark):
+    a, u, z = ("a " * 9, " ".join(map(str, range(40))), "z y x w v u t s")
+    rows = [(1, a, 0), (5, a, 1), (5, u, 2), (7, z, 3), (7, z, 4), (None, z, 5), (None, "alone but for this", 6), (None, None, 7), (8, "", 8), (9, "", 9)]
+    kept = near_duplicates.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)).collect()
+    assert sorted(r.row for r in kept if r.row not in (3, 4)) == [0, 2, 6, 7, 8, 9] and sum(r.row in (3, 4) for r in kept) == 1
+
+
 def test_decontamination(spark, docs, empty):
     df, rows = docs
     items = [(1, ITEM), (2, None), (3, ""), (4, "One TWO\nthree"), (4, "One TWO\nthree"), (5, "absent words only in this item here")]
