@@ -1,20 +1,26 @@
 """Log-probabilities of whole texts by a weighted backoff automaton.
 
-Model: bigrams smoothed by a Dirichlet prior of weight ``MU`` over add-one unigrams,
-    P1(w) = (c(w) + 1) / (N + V + 1)        P(w | v) = (c(v w) + MU P1(w)) / (c(v) + MU).
-Automaton: each context v with c(v) > 0 is a state, and so is the root. A state has an arc
-for every seen bigram (weight log P) and a failure arc to the root (weight
-log MU / (c(v) + MU)); the root has an arc for every word, unseen ones sharing one. Arcs
-and failure arcs together give exactly P. A text is read once from left to right; the
-state carried after a word is the word's own state, or the root where it was never seen.
-
-The automaton of a whole corpus fits no single task, so it is dealt out by arc: texts are
-grouped into blocks of bounded size; a block asks for its distinct n-grams, packed by
-hash range into one row each (a request); each range adds up what all blocks counted and
-answers every request in the order of its keys (a reply); the block then holds the part of
-the automaton that its texts can touch, and runs them through it. Requests carry counts of
-training texts, so counting and looking up share one shuffle, and nothing is pruned, capped
-or sent to the driver. The text exchange is made once and read twice."""
+Model: n-grams up to ``ORDER``, each order smoothed by a Dirichlet prior of weight ``MU`` over
+the one below, the lowest by one:
+    P1(w) = (c(w) + 1) / (N + V + 1)        P(w | x y) = (c(x y w) + MU P(w | y)) / (c(x y) + MU).
+Automaton: the root and every context seen in training are states. A state has an arc for each
+word seen after it, with weight log P and the longest suffix that is a state as its end, and a
+failure arc, with weight log MU / (c + MU), to the context without its first word. The root has an arc
+for every word; unseen words lead from the root to the root. Arcs and failure arcs together give
+exactly P. A text is read from left to right: the carried state's arc is taken or, where there
+is none, failure arcs until there is one, and weights are added up. All texts of a block are read
+side by side, in lanes of ``LANE`` tokens; a lane within a text is first led through the ORDER - 1
+tokens before it, which fix its state.
+
+The automaton of a whole corpus fits no single task, so it is dealt out by arc: texts are read in
+blocks of bounded size; a block asks for its distinct n-grams, packed by hash range into one row
+each (a request; ranges that a block has nothing for get none, so requests never outnumber
+n-grams); each range adds up what all blocks counted and answers every request in the order of
+its keys (a reply); the block then builds the states and arcs that its texts can touch. Requests carry
+counts of training texts, so counting and looking up share one shuffle, and nothing is pruned, capped or
+sent to the driver but N, V and the number of texts. Blocks are made twice, for requests and for their tokens, so ``docs``
+must come in the same order at each reading, as files do; where they don't, the blocks' fingerprints
+differ and the query fails."""
 
 from __future__ import annotations
 
@@ -22,154 +28,277 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, only, table
-from ._tokens import mix, word_hashes
+from ._packing import pack, pack_sorted, unpack, unpack_sorted
+from ._tokens import mix, pieces, word_hashes
 
+ORDER = 3
 MU = 4.0
-#: Bytes of text in a block, and the least number of blocks.
+#: Bytes of text in a block, and bytes of text whose n-grams a hash range holds, about.
 BLOCK_BYTES = 8 << 20
-LEAST_BLOCKS = 32
+RANGE_BYTES = 16 << 20
+LEAST_RANGES = 32
+LANE = 64
 START, END = np.uint64(0x51A7), np.uint64(0xE4D)  # no word's hash but by a chance of 2**-64
-REQUEST = "block int, part int, word_keys binary, word_counts binary, pair_keys binary, pair_counts binary, texts long"
-REPLY = "block int, part int, word_counts binary, pair_counts binary, tokens long, types long, texts long"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+REQUEST = "block long, part int, print long, sizes array<long>, keys array<binary>, counts array<binary>"
+REPLY = "block long, part int, print long, counts array<binary>"
+TOKENS = "block long, print long, doc_ids array<long>, held array<boolean>, sizes binary, words long, keys binary, by_rank binary, ranks binary"
 
 
-def _pairs(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with each text's end, bigram keys and texts' token counts."""
+def grams(tokens: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+    """The key of the m-gram that ends at each token, for m = 1 to ``order``; texts begin with START. Before a text's (m - 1)th token, m > 2, there is none and the key is not to be used."""
+    first = np.cumsum(n) - n
+    keys = [tokens]
+    for m in range(2, order + 1):
+        before = np.empty_like(tokens)
+        before[1:] = keys[-1][:-1]
+        if m == 2:
+            before[first] = START
+        keys.append(mix(before * _ODD + tokens))
+    return keys
+
+
+def offsets(n: np.ndarray) -> np.ndarray:
+    """Each token's place in its text."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _with_ends(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = counts + 1
-    tokens = np.empty(len(h) + len(counts), np.uint64)
-    ends = np.cumsum(n) - 1
+    tokens = np.full(int(n.sum()), END, np.uint64)
     inner = np.ones(len(tokens), bool)
-    inner[ends] = False
+    inner[np.cumsum(n) - 1] = False
     tokens[inner] = h
-    tokens[ends] = END
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[ends - counts] = START
-    return tokens, mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) & ~np.uint64(255), n
-
-
-def _pack(keys: np.ndarray, size: int) -> bytes:
-    """The upper ``size`` bytes of each key; words keep all 8, bigrams 7 (their keys' last byte is 0)."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, 8 - size :].tobytes()
-
-
-def _unpack(blob: pa.Buffer, size: int) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, size)
-    keys = np.zeros((len(raw), 8), np.uint8)
-    keys[:, 8 - size :] = raw
-    return keys.view(np.uint64).ravel()
-
-
-def _tokens(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    h, counts = word_hashes(group.column("text"))
-    tokens, pairs, n = _pairs(h, counts)
-    held = group.column("held_out").to_numpy(zero_copy_only=False)
-    return tokens, pairs, n, held
-
-
-def _split(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash range starts in sorted keys."""
-    width = (1 << 64) // parts + 1
-    return np.append(np.searchsorted(keys, np.array([width * i for i in range(parts)], np.uint64)), len(keys))
-
-
-def _ask(parts: int):
-    def run(group: pa.Table) -> pa.Table:
-        tokens, pairs, n, held = _tokens(group)
-        block = group.column("block")[0].as_py()
-        learnt = np.repeat(~held, n)
-        columns = []
-        for x, size in ((tokens, 8), (pairs, 7)):
-            keys, which = np.unique(x, return_inverse=True)
-            c = np.bincount(which[learnt], minlength=len(keys)).astype(np.uint32)
-            at = _split(keys, parts)
-            columns.append([(_pack(keys[a:b], size), c[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)])
-        texts = np.zeros(parts, np.int64)
-        texts[0] = int((~held).sum())
-        w, p = columns
-        return pa.table({
-            "block": pa.array([block] * parts, pa.int32()), "part": pa.array(range(parts), pa.int32()),
-            "word_keys": pa.array([x[0] for x in w], pa.binary()), "word_counts": pa.array([x[1] for x in w], pa.binary()),
-            "pair_keys": pa.array([x[0] for x in p], pa.binary()), "pair_counts": pa.array([x[1] for x in p], pa.binary()),
-            "texts": pa.array(texts),
-        })
+    return tokens, n
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, fingerprint, doc_ids, held out, tokens, texts' token counts) of each block of a task."""
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 32
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    ids: list = []
+    held: list[bool] = []
+    bytes_ = 0
+
+    def made():
+        tokens, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        mark = int(mix(tokens + np.arange(len(tokens), dtype=np.uint64)).sum(dtype=np.uint64)) ^ len(n)
+        return number, mark - (1 << 63), ids, np.array(held, bool), tokens, n
+
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            found.append(_with_ends(*word_hashes(part.column("text"))))
+            ids += part.column("doc_id").to_pylist()
+            held += part.column("held_out").to_pylist()
+            bytes_ += part.column("text").nbytes
+            if bytes_ >= size:
+                yield made()
+                number, found, ids, held, bytes_ = number + 1, [], [], [], 0
+    if found:
+        yield made()
+
+
+def _borders(parts: int) -> np.ndarray:
+    return np.array([((1 << 64) // parts + 1) * i for i in range(parts)], np.uint64)
+
+
+def _ask(parts: int, order: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, mark, _, held, tokens, n in _blocks(batches, size):
+            learnt, place = np.repeat(~held, n), offsets(n)
+            kinds = []
+            for m, x in enumerate(grams(tokens, n, order), 1):
+                there = place >= m - 2
+                keys, which = np.unique(x[there], return_inverse=True)
+                counts = np.bincount(which[learnt[there]], minlength=len(keys))
+                kinds.append((keys, counts, np.append(np.searchsorted(keys, _borders(parts)), len(keys))))
+            some = [p for p in range(parts) if any(at[p] < at[p + 1] for *_, at in kinds)]
+            cut = [[(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for keys, counts, at in kinds] for p in some]
+            yield pa.record_batch(
+                [
+                    pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([mark] * len(some), pa.int64()),
+                    pa.array([[len(k) for k, _ in row] for row in cut], pa.list_(pa.int64())),
+                    pa.array([[pack_sorted(k) for k, _ in row] for row in cut], pa.list_(pa.binary())),
+                    pa.array([[pack(c) for _, c in row] for row in cut], pa.list_(pa.binary())),
+                ],
+                names=["block", "part", "print", "sizes", "keys", "counts"],
+            )
 
     return run
 
 
+def _types(group: pa.Table) -> pa.Table:
+    """Trained tokens and their types in one hash range."""
+    rows = group.select(["sizes", "keys", "counts"]).to_pylist()
+    counts = [unpack(r["counts"][0]) for r in rows]
+    trained = np.concatenate([unpack_sorted(r["keys"][0], r["sizes"][0])[c > 0] for r, c in zip(rows, counts, strict=True)])
+    return pa.table({"tokens": [int(sum(c.sum() for c in counts))], "types": [len(np.unique(trained))]})
+
+
 def _answer(group: pa.Table) -> pa.Table:
     """The corpus counts of every key of one hash range, for each block in its own order."""
-    out = {"block": group.column("block"), "part": group.column("part")}
-    for kind, size in (("word", 8), ("pair", 7)):
-        keys = [_unpack(x.as_buffer(), size) for x in group.column(f"{kind}_keys")]
-        counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column(f"{kind}_counts")]
-        flat = np.concatenate(keys)
-        _, which = np.unique(flat, return_inverse=True)
-        total = np.bincount(which, weights=np.concatenate(counts)) if len(flat) else np.zeros(0)
-        if kind == "word":
-            tokens, types = int(total.sum()), int((total > 0).sum())
-        each = total[which]
-        stops = np.cumsum([len(k) for k in keys])
-        out[f"{kind}_counts"] = pa.array([each[b - len(k) : b].tobytes() for b, k in zip(stops, keys, strict=True)], pa.binary())
-    n = len(group)
-    texts = sum(group.column("texts").to_pylist())
-    out |= {"tokens": pa.array([tokens] * n, pa.int64()), "types": pa.array([types] * n, pa.int64()), "texts": pa.array([texts] * n, pa.int64())}
-    return pa.table(out)
-
-
-def _counts(replies: pa.Table, kind: str) -> np.ndarray:
-    """Counts of a block's sorted keys, from its replies in the order of their ranges."""
-    return np.frombuffer(b"".join(x.as_py() for x in replies.column(f"{kind}_counts")), np.float64)
-
-
-def _traverse(mu: float):
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        replies = replies.sort_by("part")
-        tokens, pairs, n, held = _tokens(texts)
-        words, word_at = np.unique(tokens, return_inverse=True)
-        grams, gram_at = np.unique(pairs, return_inverse=True)
-        c_word, c_pair = _counts(replies, "word"), _counts(replies, "pair")
-        total, types = sum(replies.column("tokens").to_pylist()), sum(replies.column("types").to_pylist())
-        trained = sum(replies.column("texts").to_pylist())
-        c = c_word[word_at]
-        starts = np.cumsum(n) - n
-        # the state before each token: how often the context was seen; 0 is the root
-        state = np.empty(len(tokens))
-        state[1:] = c[:-1]
-        state[starts] = trained
-        root = (c + 1.0) / (total + types + 1.0)
-        seen = c_pair[gram_at]
-        failure = np.log10(mu / (state + mu))
-        weight = np.where(seen > 0, np.log10((seen + mu * root) / (state + mu)), failure + np.log10(root))
-        add = lambda x: np.add.reduceat(x, starts)
+    sizes, blobs, own = (group.column(c).to_pylist() for c in ("sizes", "keys", "counts"))
+    out: list[list[bytes]] = [[] for _ in sizes]
+    for m in range(len(sizes[0])):
+        flat = np.concatenate([unpack_sorted(b[m], s[m]) for b, s in zip(blobs, sizes, strict=True)])
+        keys, which = np.unique(flat, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        stops = np.cumsum([s[m] for s in sizes])
+        places = [which[b - s[m] : b] for b, s in zip(stops, sizes, strict=True)]
+        for place, c in zip(places, own, strict=True):
+            total[place] += unpack(c[m])  # a block's keys are distinct
+        for row, place in zip(out, places, strict=True):
+            row.append(pack(total[place]))
+    return pa.table({"block": group.column("block"), "part": group.column("part"), "print": group.column("print"), "counts": pa.array(out, pa.list_(pa.binary()))})
+
+
+def _sequences(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block the texts as ranks of words, the most frequent word first, and the words' keys."""
+        for number, mark, ids, held, tokens, n in _blocks(batches, size):
+            keys, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            by_rank = np.argsort(-times, kind="stable")
+            rank = np.empty(len(keys), np.int64)
+            rank[by_rank] = np.arange(len(keys))
+            yield pa.record_batch(
+                [
+                    pa.array([number], pa.int64()), pa.array([mark], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([pack(n)], pa.binary()),
+                    pa.array([len(keys)], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(by_rank)], pa.binary()), pa.array([pack(rank[which])], pa.binary()),
+                ],
+                names=["block", "print", "doc_ids", "held", "sizes", "words", "keys", "by_rank", "ranks"],
+            )
+
+    return run
+
+
+class Automaton:
+    """States and arcs for the n-grams of some texts (tokens, texts' token counts).
+
+    counts(m, keys) are the corpus counts of sorted distinct m-grams. State 0 is the root, 1 the start of
+    a text; then come the contexts of one word, of two and so on. ``arc_at[d, i]`` is the arc that token i has
+    after a context of d words, whether or not it was seen."""
+
+    def __init__(self, tokens: np.ndarray, n: np.ndarray, counts, total: int, types: int, texts: int, order: int = ORDER, mu: float = MU):
+        place, every = offsets(n), grams(tokens, n, order)
+        start = np.cumsum(n) - n
+        depth, fail_to, context = [np.array([0, 1])], [np.array([0, 0])], [np.array([0.0, texts])]
+        seen, weight, to = [np.array([False])], [np.zeros(1)], [np.zeros(1, np.int64)]  # arc 0 is none
+        self.arc_at = np.zeros((order, len(tokens)), np.int32)
+        state_of = np.zeros(len(tokens), np.int64)  # the state of the context one word shorter that ends at each token
+        before = np.zeros(len(tokens))  # count of the context before each token
+        prob = np.zeros(len(tokens))  # probability in the order below
+        arcs, states = 1, 2
+        for m, x in enumerate(every, 1):
+            there = np.flatnonzero(place >= m - 2)
+            keys, first, which = np.unique(x[there], return_index=True, return_inverse=True)
+            c, first = counts(m, keys).astype(float), there[first]
+            p = (c + 1) / (total + types + 1) if m == 1 else (c + mu * prob[first]) / (before[first] + mu)
+            seen.append(c > 0 if m > 1 else np.ones(len(keys), bool))
+            weight.append(np.log10(p))
+            self.arc_at[m - 1, there] = arcs + which
+            suffix = state_of[first]
+            if m < order:  # the m-gram is a context itself
+                depth.append(np.full(len(keys), m))
+                fail_to.append(suffix)
+                context.append(c)
+                own = states + np.arange(len(keys))
+                to.append(np.where(c > 0, own, suffix))
+                # a context that training never saw is no state: what ends in it ends in the longest one that is
+                state_of[there] = to[-1][which]
+                states += len(keys)
+            else:
+                to.append(suffix)
+            prob[there] = p[which]
+            count_here = np.zeros(len(tokens))
+            count_here[there] = c[which]
+            before = np.zeros(len(tokens))
+            before[1:] = count_here[:-1]
+            if m == 1:
+                before[start] = texts
+            arcs += len(keys)
+        self.depth, self.fail_to = np.concatenate(depth), np.concatenate(fail_to)
+        self.fail_weight = np.log10(mu / (np.concatenate(context) + mu))
+        self.fail_weight[0] = 0.0
+        self.seen, self.weight, self.to = np.concatenate(seen), np.concatenate(weight), np.concatenate(to)
+        self.n, self.order = n, order
+
+    def read(self) -> np.ndarray:
+        """Each text's score: a traversal from left to right that carries a state, in all lanes at once."""
+        lanes = -(-self.n // LANE)
+        text = np.repeat(np.arange(len(self.n)), lanes)
+        lane = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = (np.cumsum(self.n) - self.n)[text]
+        begin = start + lane * LANE
+        end = np.minimum(begin + LANE, start + self.n[text])
+        at = np.maximum(begin - (self.order - 1), start)
+        state = np.where(at == start, 1, 0)
+        score = np.zeros(len(text))
+        live = np.arange(len(text))
+        while len(live):
+            s, i, w = state[live], at[live], np.zeros(len(live))
+            arc = self.arc_at[self.depth[s], i]
+            lost = np.flatnonzero(~self.seen[arc])
+            while len(lost):
+                w[lost] += self.fail_weight[s[lost]]
+                s[lost] = self.fail_to[s[lost]]
+                arc[lost] = self.arc_at[self.depth[s[lost]], i[lost]]
+                lost = lost[~self.seen[arc[lost]]]
+            score[live] += np.where(i >= begin[live], w + self.weight[arc], 0.0)
+            state[live] = self.to[arc]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return np.bincount(text, weights=score, minlength=len(self.n))
+
+
+def _traverse(total: int, types: int, texts: int, order: int, mu: float):
+    def run(bags: pa.Table, replies: pa.Table) -> pa.Table:
+        marks = set(bags.column("print").to_pylist()) | set(replies.column("print").to_pylist())
+        if len(bags) != 1 or len(marks) != 1:
+            raise ValueError("a block of texts was not read twice in the same order")
+        bag, answers = bags.to_pylist()[0], replies.sort_by("part").column("counts").to_pylist()
+        n = unpack(bag["sizes"])
+        tokens = unpack_sorted(bag["keys"], bag["words"])[unpack(bag["by_rank"])[unpack(bag["ranks"])]]
+
+        def counts(m: int, keys: np.ndarray) -> np.ndarray:
+            found = np.concatenate([unpack(x[m - 1]) for x in answers])
+            if len(found) != len(keys):
+                raise ValueError("a block of texts was not read twice in the same order")
+            return found
+
+        automaton = Automaton(tokens, n, counts, total, types, texts, order, mu)
+        starts, roots = np.cumsum(n) - n, automaton.arc_at[0]
+        known = (automaton.to[roots] > 0).astype(np.int64)  # a word's arc from the root leads to its state if it was seen
         return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()),
-            "n_known": pa.array(add((c > 0).astype(np.int64))), "train_tokens": pa.array([total] * len(n), pa.int64()),
-            "base_score": pa.array(add(np.log10(root))), "score": pa.array(add(weight)),
+            "doc_id": pa.array(bag["doc_ids"], pa.int64()), "held_out": pa.array(bag["held"], pa.bool_()), "n_tokens": pa.array(n),
+            "n_known": pa.array(np.add.reduceat(known, starts)), "train_tokens": pa.array([total] * len(n), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(automaton.weight[roots], starts)), "score": pa.array(automaton.read()),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, divisor: int = 7, at: int = 2, mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+def score_texts(docs: DataFrame, divisor: int = 7, at: int = 2, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     Learns from rows whose crc32(doc_id) modulo ``divisor`` is not ``at`` (a null doc_id counts as
-    held out). Null texts are empty; an empty text is its end token alone. Scores are log10. With
-    nothing to learn from, every token has the one unseen word's probability of 1."""
+    held out); a row that repeats counts as often. Null texts are empty; an empty text is its end token
+    alone. Scores are log10. With nothing to learn from, every token has the one unseen word's probability of 1."""
+    if order < 2:
+        raise ValueError("the automaton's order is 2 or more")
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), divisor, at).alias("held_out"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
-    # the text's hash deals rows of one doc_id out, should there be many
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(blocks), REQUEST)
-    replies = asked.groupBy("part").applyInArrow(_answer, REPLY)
+    bytes_, texts = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.when(~F.col("held_out"), 1))).first()
+    parts = max(LEAST_RANGES, -(-(bytes_ or 0) // range_bytes))
+    words = rows.mapInArrow(_ask(parts, 1, block_bytes), REQUEST).groupBy("part").applyInArrow(_types, "tokens long, types long")
+    total, types = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("types")).first())
+    replies = rows.mapInArrow(_ask(parts, order, block_bytes), REQUEST).groupBy("part").applyInArrow(_answer, REPLY)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_traverse(mu), out)
+    return rows.mapInArrow(_sequences(block_bytes), TOKENS).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_traverse(total, types, texts, order, mu), out)
 
 
 def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ temperature that calibrates its probabilities."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, materialise, only, table
+from ._packing import pack, unpack
 from ._tokens import RUNS, mix, pieces, word_hashes
 
 SAMPLE = 20_000
@@ -53,18 +53,6 @@ def index_vectors(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers, deflated by planes of bytes; small ones of either sign take few."""
-    x = x.astype(np.int64).ravel()
-    c = zlib.compressobj(1, strategy=zlib.Z_RLE)  # runs and letter codes alone: smaller here than with matches
-    return c.compress(((x << 1) ^ (x >> 63)).view(np.uint8).reshape(-1, 8).T.tobytes()) + c.flush()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-    return (x >> 1) ^ -(x & 1)
-
-
 def add_contexts(total: np.ndarray, b: np.ndarray, counts: np.ndarray, index: np.ndarray) -> None:
     """Add the index vectors of all words' neighbours to ``total`` (dims and a row of counts x words); ``b`` are the tokens' words."""
     text = np.repeat(np.arange(len(counts)), counts)
@@ -119,7 +107,7 @@ def _ask(parts: int):
             at = np.append(np.searchsorted(keys, borders), len(keys))
             cut = list(zip(at[:-1], at[1:], strict=True))
             yield pa.record_batch(
-                [pa.array([number] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([mark] * parts, pa.int64()), pa.array([keys[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([_pack(total[:, i:j]) for i, j in cut], pa.binary())],
+                [pa.array([number] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([mark] * parts, pa.int64()), pa.array([keys[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([pack(total[:, i:j]) for i, j in cut], pa.binary())],
                 names=["block", "part", "print", "keys", "sums"],
             )
 
@@ -134,8 +122,8 @@ def _answer(group: pa.Table) -> pa.Table:
     stops = np.cumsum([len(k) for k in keys])
     places = [which[b - len(k) : b] for b, k in zip(stops, keys, strict=True)]
     for place, blob in zip(places, group.column("sums"), strict=True):
-        total[:, place] += _unpack(blob.as_py()).reshape(DIMS + 1, -1)  # a block's words are distinct
-    sums = pa.array([_pack(total[:, place]) for place in places], pa.binary())
+        total[:, place] += unpack(blob.as_py()).reshape(DIMS + 1, -1)  # a block's words are distinct
+    sums = pa.array([pack(total[:, place]) for place in places], pa.binary())
     return pa.table({"block": group.column("block"), "part": group.column("part"), "print": group.column("print"), "sums": sums, "total": pa.array([total.sum(axis=1).tobytes()] * len(group), pa.binary())})
 
 
@@ -154,7 +142,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before, last = before + len(counts), int(bag[-1]) if len(bag) else last
         counts = np.concatenate([n for _, n in texts])
         yield pa.record_batch(
-            [pa.array([number], pa.int64()), pa.array([mark], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_pack(counts)], pa.binary()), pa.array([np.concatenate(energy).tobytes()], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([_pack(np.concatenate(gaps))], pa.binary()), pa.array([_pack(np.concatenate(all_times))], pa.binary())],
+            [pa.array([number], pa.int64()), pa.array([mark], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(counts)], pa.binary()), pa.array([np.concatenate(energy).tobytes()], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([pack(np.concatenate(gaps))], pa.binary()), pa.array([pack(np.concatenate(all_times))], pa.binary())],
             names=["block", "print", "doc_ids", "counts", "energy", "words", "gaps", "times"],
         )
 
@@ -173,11 +161,11 @@ def _pool(parts: int):
             raise ValueError("a block of texts was not read twice in the same order")
         bag = bags.to_pylist()[0]
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in replies.column("total"))
-        vectors = np.concatenate([unit_vectors(_unpack(x.as_py()).reshape(DIMS + 1, -1), total) for x in replies.column("sums")], axis=1)
-        counts, times = _unpack(bag["counts"]), _unpack(bag["times"])
+        vectors = np.concatenate([unit_vectors(unpack(x.as_py()).reshape(DIMS + 1, -1), total) for x in replies.column("sums")], axis=1)
+        counts, times = unpack(bag["counts"]), unpack(bag["times"])
         out, some = np.zeros((len(counts), DIMS + 2), np.float32), counts > 0
         if some.any():
-            text, word = np.divmod(np.cumsum(_unpack(bag["gaps"])), bag["words"])
+            text, word = np.divmod(np.cumsum(unpack(bag["gaps"])), bag["words"])
             starts = np.searchsorted(text, np.flatnonzero(some))
             for d in range(DIMS):
                 out[some, d] = np.add.reduceat(vectors[d, word] * times.astype(np.float64), starts) / counts[some]

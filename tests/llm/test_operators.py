@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexichron.llm import decontamination, language_model, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, toxicity, url_filters
+from lexichron.llm._packing import pack, pack_sorted, unpack, unpack_sorted
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, family long, node int, stratum string, line long"
 ITEM = " ".join(f"item{i}" for i in range(20))
@@ -55,7 +56,7 @@ def test_near_duplicates(spark, docs, monkeypatch, sets_, large):
     df, rows = docs
     if large:  # a family of several chunks that falls into components: copies with more and more words changed, in two sizes
         base = [f"b{i}" for i in range(200)]
-        rows = [(i, " ".join(("z%d" % i) if j % 53 == i % 7 and j < 60 * (i % 5) else w for j, w in enumerate(base[: 200 - 12 * (i % 3)]))) for i in range(70)]
+        rows = [(i, " ".join(("z%d" % i) if j % 53 == i % 7 and j < 60 * (i % 5) else w for j, w in enumerate(base[: 200 - 45 * (i % 2)]))) for i in range(70)]
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     again, across = [], near_duplicates._across
     monkeypatch.setattr(near_duplicates, "_across", lambda *a: again.append(1) or across(*a))
@@ -119,25 +120,53 @@ def test_small_items_in_long_texts(spark):
     assert {(r.doc_id, r.item_id): r.shared for r in found.collect()} == want and len(want) > 400
 
 
-def test_language_model(docs, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, empty, order):
     df, rows = docs
     tokens = {r[0]: [*words(r[1]), None] for r in rows}
-    count, pair, texts = Counter(), Counter(), 0
+    count, context, texts = Counter(), Counter(), 0
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            count.update(w)
-            pair.update(zip(["<s>", *w[:-1]], w, strict=True))
             texts += 1
-    n, v, mu = sum(count.values()), len(count), language_model.MU
-    for r in language_model.score_texts(df, block_bytes=500).collect():
+            for j in range(len(w)):
+                for m in range(1, min(order, j + 2) + 1):
+                    gram = tuple(["<s>", *w][j + 2 - m : j + 2])
+                    count[gram] += 1
+                    context[gram[:-1]] += 1
+    n, v, mu = context[()], sum(len(g) == 1 for g in count), language_model.MU
+
+    def prob(gram):
+        if len(gram) == 1:
+            return (count[gram] + 1) / (n + v + 1)
+        return (count[gram] + mu * prob(gram[1:])) / (context[gram[:-1]] + mu)
+
+    for r in language_model.score_texts(df, order=order, block_bytes=5000, range_bytes=500).collect():
         w = tokens[r.doc_id]
-        p1 = [(count[x] + 1) / (n + v + 1) for x in w]
-        score = sum(math.log10((pair[a, b] + mu * p) / ((texts if a == "<s>" else count[a]) + mu)) for a, b, p in zip(["<s>", *w[:-1]], w, p1, strict=True))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(map(math.log10, p1))) and r.score == pytest.approx(score)
+        score = sum(math.log10(prob(tuple(["<s>", *w][max(0, j + 2 - order) : j + 2]))) for j in range(len(w)))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x,] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10(prob((x,))) for x in w)) and r.score == pytest.approx(score)
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_language_model_odd_rows(spark):
+    rows = [(None, "null id", 1), (1, "w " * 3000 + "x", 2), (1, "w " * 3000 + "x", 3), (2, None, 4), (3, "", 5), (4, "long " + "q" * 3_000_000, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block int").repartition(2)
+    got = language_model.score_texts(df).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.doc_id == 1}) == 1 and all(math.isfinite(r.score) for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (2, 3)} == {1} and all(r.held_out for r in got if r.doc_id is None)
+
+
+def test_packing_loses_nothing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (unpack_sorted(pack_sorted(keys), len(keys)) == keys).all()
+        x = rng.integers(-(1 << 40), 1 << 40, n) >> rng.integers(0, 41, n)
+        assert (unpack(pack(x)) == x).all()
+    dense = np.arange(300, dtype=np.uint64)
+    assert (unpack_sorted(pack_sorted(dense), 300) == dense).all()
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_lines(docs, limit, empty):
     df, rows = docs
