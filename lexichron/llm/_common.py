@@ -50,6 +50,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers and texts as literals of the plan, so that no Python rows are shipped. ``rows`` is not empty."""
+    fields = [f.split() for f in schema.split(", ")]
+
+    def literal(x: object) -> str:
+        if isinstance(x, str):
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "NULL" if x is None else f"{x!r}D" if isinstance(x, float) else str(x)
+
+    body = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    columns = ", ".join(f"CAST(col{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(fields, 1))
+    return spark.sql(f"SELECT {columns} FROM VALUES {body}")
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key's text, modulo ``divisor``; the split of labelled and unseen rows."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor))

@@ -1,29 +1,30 @@
 """K-d tree sharding by bytes, in DataFrame functions only.
 
-A node with several shards is cut along its widest metadata dimension (its range against
-the whole table's) at the weighted median of bytes, or at the weighted quantile that fits an
-odd number of shards. Medians of all nodes and dimensions of a level are found together by
-refining histograms: each round sums bytes in ``BINS`` bins of every bracket (added up before the
-shuffle) and keeps the bin that holds the median, until it is a single value. Where a value
-itself is heavy, so that a cut is off by more than ``TOLERANCE``, the next dimension is tried.
-
-The dimensions, size and digest, are functions of the text, so equal texts lie on one point
-and stay in one shard, unless one text alone is larger than a shard: its rows are told
-apart by doc_id. Only the nodes' cuts (fewer than shards) come to the driver or are broadcast."""
+A node with several shards is cut along its widest metadata dimension (the range of its values
+against the whole table's) at the weighted median of bytes, or at the weighted quantile that
+fits an odd number of shards. The dimensions, bytes, words, lines and mean bytes of a word, are
+functions of the text; rows of one value are told apart by the text's digest, which is the lower
+half of each coordinate, so a cut is off by no more than half the bytes of one text and its copies.
+Medians of all nodes of a level are found together by refining histograms: each round sums bytes in
+``BINS`` bins of every node's bracket (added up before the shuffle) and keeps the bin that holds the
+median, until it is a single coordinate.
+
+Equal texts lie on one point and stay in one shard, unless one text with its copies is larger than a
+shard: its rows are told apart by doc_id. Only the nodes' brackets and cuts (fewer than shards) come to
+the driver or are broadcast, for any number of shards alike."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import WORD, literal_table, materialise, table
 
 BINS = 4096
-TOLERANCE = 0.005
 #: Rows that one task numbers, about.
 SLOT_ROWS = 50_000
-DIMENSIONS = ("kd_size", "kd_digest")
-EXPRESSION_CUTS, EXPRESSION_NODES = 256, 64
+DIMENSIONS = ("bytes", "words", "lines", "word_bytes")
+RESULT = ("kd_size", "kd_crc32", "kd_shard")
 
 
 def text_size(text: Column) -> Column:
@@ -34,131 +35,98 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _cuts(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, dim, cut, low, high, off) for each dimension of ``nodes`` (node, fraction): values up to the
-    cut hold about that fraction of the node's bytes, and ``off`` is how far off that is."""
-    each = points.select("node", F.col("kd_size").alias("w"), F.posexplode(F.array(*DIMENSIONS)).alias("dim", "x"))
-    range_of = each.groupBy("node", "dim").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("w").alias("total")).join(F.broadcast(nodes), "node")
-    state = materialise(range_of.select("node", "dim", "low", "high", F.col("low").alias("lo"), F.col("high").alias("hi"), "total", (F.col("total") * F.col("fraction")).alias("goal"), F.lit(0).cast("long").alias("below"), F.col("total").alias("inside")))
-    while (state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 0:
-        step = F.expr(f"(hi - lo) div {BINS} + 1")
-        hit = each.join(F.broadcast(state.drop("low", "high", "total", "inside")), ["node", "dim"]).where("x between lo and hi")
-        bars = hit.groupBy("node", "dim", "lo", "hi", "below", "goal", ((F.col("x") - F.col("lo")) / step).cast("long").alias("bin"), step.alias("step")).agg(F.sum("w").alias("inside"))
-        upto = bars.withColumn("upto", F.sum("inside").over(Window.partitionBy("node", "dim").orderBy("bin")) + F.col("below"))
-        best = upto.where("upto >= goal").groupBy("node", "dim").agg(F.min(F.struct("bin", "lo", "hi", "step", "upto", "inside")).alias("b"))
-        low = F.col("b.lo") + F.col("b.bin") * F.col("b.step")
-        found = best.select("node", "dim", low.alias("lo"), F.least(F.col("b.hi"), low + F.col("b.step") - 1).alias("hi"), (F.col("b.upto") - F.col("b.inside")).alias("below"), F.col("b.inside").alias("inside"))
-        state = materialise(state.select("node", "dim", "low", "high", "total", "goal").join(F.broadcast(found), ["node", "dim"]).select("node", "dim", "low", "high", "lo", "hi", "total", "goal", "below", "inside"))
-    with_it, without = F.abs(F.col("below") + F.col("inside") - F.col("goal")), F.abs(F.col("below") - F.col("goal"))
-    return state.select("node", "dim", "low", "high", F.when(with_it <= without, F.col("lo")).otherwise(F.col("lo") - 1).alias("cut"), (F.least(with_it, without) / F.col("total")).alias("off"))
-
-
-def _few_cuts(points: DataFrame, fractions: dict[int, float]) -> list[tuple[int, int, int, int, int, float]]:
-    """The rows of :func:`_cuts` for up to ``EXPRESSION_NODES`` nodes: brackets are expressions, so points are
-    neither joined nor exploded. One row for each node and dimension comes to the driver in each round."""
-
-    def at_node(values: dict[int, object]) -> Column:
-        (first, value), *rest = values.items()
-        out = F.when(F.col("node") == first, F.lit(value))
-        for k, v in rest:
-            out = out.when(F.col("node") == k, F.lit(v))
-        return out
+def _measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, and more) with size, crc32, the id's digest and the values of all dimensions."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_count(text, F.lit(WORD)).cast("long")
+    sized = rows.withColumns({"size": text_size(F.col("text")), "crc32": text_crc32(F.col("text")), "id_digest": F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))})
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return sized.withColumns({"bytes": F.col("size"), "words": words, "lines": lines}).withColumn("word_bytes", F.expr("bytes div greatest(words, 1)"))
 
-    ends = [f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
-    ranges = {r["node"]: r for r in points.where(F.col("node").isin(list(fractions))).groupBy("node").agg(F.sum("kd_size").alias("total"), *ends).collect()}
-    found = {(k, i): {"low": r[f"low_{d}"], "high": r[f"high_{d}"], "lo": r[f"low_{d}"], "hi": r[f"high_{d}"], "below": 0, "inside": r["total"], "total": r["total"], "goal": r["total"] * fractions[k]} for k, r in ranges.items() for i, d in enumerate(DIMENSIONS)}
-    while wide := {k: x for k, x in found.items() if x["hi"] > x["lo"]}:
-        bars = None
-        for i, d in enumerate(DIMENSIONS):
-            own = {k: x for (k, j), x in wide.items() if j == i}
-            if not own:
-                continue
-            lo, hi, step, below, goal = (at_node(v) for v in ({k: f(x) for k, x in own.items()} for f in (lambda x: x["lo"], lambda x: x["hi"], lambda x: (x["hi"] - x["lo"]) // BINS + 1, lambda x: x["below"], lambda x: float(x["goal"]))))
-            hit = points.where(F.col("node").isin(list(own)) & F.col(d).between(lo, hi)).groupBy("node", F.floor((F.col(d) - lo) / step).alias("bin")).agg(F.sum("kd_size").alias("inside"))
-            upto = F.sum("inside").over(Window.partitionBy("node").orderBy("bin")) + below
-            best = hit.withColumn("upto", upto).where(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("bin", "upto", "inside")).alias("b")).select("node", F.lit(i).alias("dim"), "b.*")
-            bars = best if bars is None else bars.union(best)
-        for r in bars.collect():
-            x = found[r["node"], r["dim"]]
-            step = (x["hi"] - x["lo"]) // BINS + 1
-            x["lo"] += r["bin"] * step
-            x |= {"hi": min(x["hi"], x["lo"] + step - 1), "below": r["upto"] - r["inside"], "inside": r["inside"]}
-    out = []
-    for (k, i), x in found.items():
-        with_it, without = abs(x["below"] + x["inside"] - x["goal"]), abs(x["below"] - x["goal"])
-        out.append((k, i, x["lo"] if with_it <= without else x["lo"] - 1, x["low"], x["high"], min(with_it, without) / x["total"]))
+
+def _placed(measured: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Each dimension's value with the digest that tells rows of one value apart."""
+    marked = measured.join(F.broadcast(heavy), ["size", "crc32"], "left")  # fewer rows than shards
+    digest = F.when(F.col("is_heavy"), F.col("id_digest")).otherwise(F.col("crc32"))
+    return marked.withColumns({d: F.shiftleft(d, 32) + digest for d in DIMENSIONS}).withColumn("node", F.lit(0)).drop("is_heavy")
+
+
+def _at(dim: Column) -> Column:
+    """The coordinate along a row's own dimension."""
+    out = F.when(dim == 0, F.col(DIMENSIONS[0]))
+    for i, d in enumerate(DIMENSIONS[1:], 1):
+        out = out.when(dim == i, F.col(d))
     return out
 
 
-def _descend(rows: DataFrame, levels: list[list[tuple[int, int, int, int]]]) -> DataFrame:
-    """Rows with ``node``, the leaf that they reach. levels: (node, dim, cut, left) of each level's cut nodes, where
-    ``left`` shards are on the left side and the right side's node is node + left. A tree of up to ``EXPRESSION_CUTS``
-    cuts is one expression; a larger one is joined level by level."""
-    if sum(map(len, levels)) <= EXPRESSION_CUTS:
-        tree = [{k: x for k, *x in cuts} for cuts in levels]
-
-        def below(node: int, level: int) -> Column:
-            if level == len(tree):
-                return F.lit(node)
-            if node not in tree[level]:
-                return below(node, level + 1)
-            dim, cut, left = tree[level][node]
-            return F.when(F.col(DIMENSIONS[dim]) > cut, below(node + left, level + 1)).otherwise(below(node, level + 1))
-
-        return rows.withColumn("node", below(0, 0))
-    rows = rows.withColumn("node", F.lit(0))
-    x = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
-    for cuts in levels:
-        table_of = F.broadcast(rows.sparkSession.createDataFrame(cuts, "cut_node int, dim int, cut long, left int"))  # fewer rows than shards
-        rows = rows.join(table_of, F.col("node") == F.col("cut_node"), "left").withColumn("node", F.col("node") + F.when(x > F.col("cut"), F.col("left")).otherwise(0)).drop("cut_node", "dim", "cut", "left")
-    return rows
+def _quantiles(points: DataFrame, brackets: dict[int, dict]) -> None:
+    """Narrows each node's bracket (dim, lo, hi, goal, below, inside) to the one coordinate at which ``goal`` bytes are reached."""
+    spark = points.sparkSession
+    while wide := {k: b for k, b in brackets.items() if b["hi"] > b["lo"]}:
+        rows = [(k, b["dim"], b["lo"], b["hi"], (b["hi"] - b["lo"]) // BINS + 1, b["below"], float(b["goal"])) for k, b in wide.items()]
+        asked = literal_table(spark, rows, "node int, dim int, lo long, hi long, step long, below long, goal double")
+        hit = points.join(F.broadcast(asked), "node").withColumn("x", _at(F.col("dim"))).where("x between lo and hi")
+        bars = hit.groupBy("node", "below", "goal", F.expr("(x - lo) div step").alias("bin")).agg(F.sum("size").alias("inside"))
+        upto = F.sum("inside").over(Window.partitionBy("node").orderBy("bin")) + F.col("below")
+        best = bars.withColumn("upto", upto).where("upto >= goal").groupBy("node").agg(F.min(F.struct("bin", "upto", "inside")).alias("b"))
+        for r in best.select("node", "b.*").collect():  # a row for each node
+            b = brackets[r["node"]]
+            step = (b["hi"] - b["lo"]) // BINS + 1
+            b["lo"] += r["bin"] * step
+            b |= {"hi": min(b["hi"], b["lo"] + step - 1), "below": r["upto"] - r["inside"], "inside": r["inside"]}
+
+
+def _descend(rows: DataFrame, cuts: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Rows one level further down. cuts: (node, dim, cut, left) where ``left`` shards are on the left side; the right side's node is node + left."""
+    cut = F.broadcast(literal_table(rows.sparkSession, cuts, "node int, dim int, cut long, left int"))  # fewer rows than shards
+    down = F.when(_at(F.col("dim")) > F.col("cut"), F.col("node") + F.col("left")).otherwise(F.col("node"))
+    return rows.join(cut, "node", "left").withColumn("node", down).drop("dim", "cut", "left")
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 1 << 30) -> DataFrame:
-    """Every row of ``docs`` in all its columns, with ``kd_size``, ``kd_crc32`` and ``kd_shard``.
+    """Every row of ``docs`` in all its columns, with ``kd_size``, ``kd_crc32`` and ``kd_shard``; columns of these names in ``docs`` are replaced.
 
     ``shards`` leaves, or as many as hold ``target_bytes`` each. Null texts count as empty (size 1).
-    Rows that agree in text and, should that text be heavier than a shard, in doc_id can't be told
+    Rows that agree in text and, should that text and its copies be heavier than a shard, in doc_id can't be told
     apart and share a shard, so a shard may then be large and others empty. An empty table has no shards."""
-    measured = docs.withColumn("kd_size", text_size(F.col("text"))).withColumn("kd_crc32", text_crc32(F.col("text")))
-    narrow = materialise(measured.select("kd_size", "kd_crc32", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("kd_id")))
-    total = narrow.agg(F.sum("kd_size")).first()[0] or 0
+    kept = [c for c in docs.columns if c not in RESULT]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "doc_id", "text")
+    measured = _measured(packed)
+    narrow = materialise(measured.select("size", "crc32", "id_digest", *DIMENSIONS))
+    total = narrow.agg(F.sum("size")).first()[0] or 0
     shards = shards or max(1, -(-total // target_bytes))
-    heavy = narrow.groupBy("kd_size", "kd_crc32").agg(F.sum("kd_size").alias("bytes")).where(F.col("bytes") > total / shards).select("kd_size", "kd_crc32", F.lit(True).alias("kd_heavy"))
-    heavy = materialise(heavy)  # fewer rows than shards
-
-    def placed(rows: DataFrame) -> DataFrame:
-        marked = rows.join(F.broadcast(heavy), ["kd_size", "kd_crc32"], "left")
-        return marked.withColumn("kd_digest", F.when(F.col("kd_heavy"), F.col("kd_id")).otherwise(F.col("kd_crc32"))).drop("kd_heavy")
-
-    points = materialise(placed(narrow).select(*DIMENSIONS))
-    whole = [r[0] or 1 for r in (points.agg(F.max(d) - F.min(d)).first() for d in DIMENSIONS)]
-    spark, parts, levels = docs.sparkSession, {0: shards}, []
-    while any(n > 1 for n in parts.values()):
-        fractions = {k: (n // 2) / n for k, n in parts.items() if n > 1}
-        at_nodes = _descend(points, levels)
-        if len(fractions) <= EXPRESSION_NODES:
-            measured_cuts = _few_cuts(at_nodes, fractions)
-        else:
-            open_nodes = spark.createDataFrame(list(fractions.items()), "node int, fraction double")
-            met = at_nodes.join(F.broadcast(open_nodes.select("node")), "node", "left_semi")
-            measured_cuts = [(r.node, r.dim, r.cut, r.low, r.high, r.off) for r in _cuts(met, open_nodes).collect()]
-        found: dict[int, list] = {}
-        for node, dim, cut, low, high, off in measured_cuts:
-            found.setdefault(node, []).append(((high - low) / whole[dim], dim, cut, off))
-        cuts, parts_below = [], {k: n for k, n in parts.items() if n == 1}
-        for k, n in parts.items():
-            if n == 1 or k not in found:
-                continue
-            ranked = sorted(found[k], key=lambda x: (-x[0], -x[1]))  # the widest first
-            _, dim, cut, _ = next((x for x in ranked if x[3] <= TOLERANCE), min(ranked, key=lambda x: x[3]))
-            cuts.append((k, dim, cut, n // 2))
-            parts_below |= {k: n // 2, k + n // 2: n - n // 2}
-        parts = parts_below
-        levels.append(cuts)
-    rows = placed(measured.withColumn("kd_id", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    rows = _descend(rows, levels)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "kd_size", "kd_crc32", F.col("node").alias("kd_shard"))
+    heavy = narrow.groupBy("size", "crc32").agg(F.sum("size").alias("of_text")).where(F.col("of_text") > total / shards)
+    heavy = materialise(heavy.select("size", "crc32", F.lit(True).alias("is_heavy")))
+    points = materialise(_placed(narrow, heavy).select("node", "size", *DIMENSIONS))
+    ends = [f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
+    value = lambda r, d: (r[f"high_{d}"] >> 32) - (r[f"low_{d}"] >> 32)
+    parts, levels, whole = {0: shards}, [], None
+    while open_ := {k: n for k, n in parts.items() if n > 1}:
+        asked = F.broadcast(literal_table(points.sparkSession, [(k,) for k in open_], "node int"))
+        found = points.join(asked, "node").groupBy("node").agg(F.sum("size").alias("total"), *ends).collect()  # a row for each node
+        whole = whole or {d: max(1, *(value(r, d) for r in found)) for d in DIMENSIONS} if found else None
+        brackets = {}
+        for r in found:
+            dim = max(range(len(DIMENSIONS)), key=lambda i: (value(r, DIMENSIONS[i]) / whole[DIMENSIONS[i]], -i))  # noqa: B023
+            low, high = (r[f"{n}_{DIMENSIONS[dim]}"] for n in ("low", "high"))
+            n = open_[r["node"]]
+            brackets[r["node"]] = {"dim": dim, "lo": low, "hi": high, "goal": r["total"] * (n // 2) / n, "below": 0, "inside": r["total"]}
+        _quantiles(points, brackets)
+        cuts = []
+        for k, b in brackets.items():
+            with_it = b["below"] + b["inside"] - b["goal"] <= b["goal"] - b["below"]
+            cuts.append((k, b["dim"], b["lo"] if with_it else b["lo"] - 1, open_[k] // 2))
+        parts = {k: n for k, n in parts.items() if n == 1}
+        for k, *_, left in cuts:
+            parts |= {k: left, k + left: open_[k] - left}
+        if cuts:
+            levels.append(cuts)
+            if any(n > 1 for n in parts.values()):
+                points = materialise(_descend(points, cuts))
+    rows = _placed(measured, heavy)
+    for cuts in levels:
+        rows = _descend(rows, cuts)
+    return rows.select(*[F.col(f"row.`{c}`") for c in kept], F.col("size").alias("kd_size"), F.col("crc32").alias("kd_crc32"), F.col("node").alias("kd_shard"))
 
 
 def slots(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, materialise, table
+from ._common import ascii_lower, literal_table, materialise, table
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -76,7 +76,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
 
 def op7_nested_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return judge(table(spark, sf_dir, "pages"), literal_table(spark, RULES, "host string, path string, verdict string"))
 
 
 ORACLE = r"""

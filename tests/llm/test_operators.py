@@ -220,6 +220,22 @@ def test_sharding(docs, empty):
     assert sharding.kd_shards(empty, shards=3).count() == 0
 
 
+@pytest.mark.parametrize("shards", [7, 200, 300])
+def test_shards_are_balanced(spark, shards):
+    rng = random.Random(shards)
+    rows = [(i, "\n".join(" ".join("v" * rng.randint(1, 9) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 9))), "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kd_size string").withColumn("node", F.lit(9)).withColumn("size", F.lit("s"))
+    got = sharding.kd_shards(df, shards=shards).collect()
+    heavy = max(r.kd_size for r in got)
+    of = Counter()
+    for r in got:
+        of[r.kd_shard] += r.kd_size
+    mean = sum(of.values()) / shards
+    assert set(of) == set(range(shards)) and r.node == 9 and r.size == "s"
+    assert max(abs(x - mean) for x in of.values()) <= heavy * math.ceil(math.log2(shards)) / 2
+    assert sorted(r.kd_size for r in got) == sorted(len(t.encode()) + 1 for _, t, _ in rows)
+
+
 def test_heavy_text_is_dealt_by_id(spark):
     df = spark.createDataFrame([(i, "same text") for i in range(400)], "doc_id long, text string")
     n = Counter(r.kd_shard for r in sharding.kd_shards(df, shards=4).collect())
