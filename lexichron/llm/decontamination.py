@@ -10,19 +10,23 @@ text, in one window or scattered over many, is missed with odds of about
 exp(-HASHES * c / 4). Items of at most ``EXACT`` shingles are looked up instead: an item that
 is held leaves out few of its shingles, so one of any few more is in the text, and those that
 the fewest items share are kept as keys. None of these is missed. Every candidate is verified on whole sets: shared shingles against
-the item's shingles. Nothing is shuffled; the items are the broadcast side, in blocks of
-at most ``BLOCK_ITEMS`` items, and the documents are scanned once for each block."""
+the item's shingles. No text is shuffled; the items are the broadcast side, in blocks of at most
+``BLOCK_ITEMS`` different sets, one block after another: the documents are scanned once for each block
+and its links written before the next one is read, so the driver never holds more than one block.
+Items of equal sets are searched for as one."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, only, table
+from ._common import fresh, materialise, only, stored, table
 from ._tokens import pieces, shingles, word_hashes
 
 HASHES = 64
@@ -41,7 +45,7 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Keys of the small items; minima of the others, by size partition and permutation."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int = 80):
+    def __init__(self, ids: list[list[int]], sets: list[np.ndarray], percent: int = 80):
         odd, shift = _permutations()
         self.ids, self.sets = ids, sets
         self.keys, self.owners = self._keys([i for i, s in enumerate(sets) if len(s) <= EXACT], percent)
@@ -105,15 +109,13 @@ class Index:
         return found
 
 
-def _search(blocks: list[Index], percent: int):
+def _search(index: Index, k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = blocks[0]
         for batch in batches:
             for part in pieces(batch, "text"):
-                s, counts = shingles(*word_hashes(part.column("text")), index.k)
+                s, counts = shingles(*word_hashes(part.column("text")), k)
                 stops = np.cumsum(counts)
-                docs = part.column("doc_id")
-                rows: list[tuple[int, int, int]] = []
+                rows: list[tuple[int, int, int, int]] = []
                 sets: dict[int, np.ndarray] = {}
                 for d, i in sorted(index.candidates(s, counts)):
                     if d not in sets:
@@ -122,35 +124,31 @@ def _search(blocks: list[Index], percent: int):
                     place = np.minimum(np.searchsorted(own, item), len(own) - 1)
                     shared = int((own[place] == item).sum())
                     if 100 * shared >= percent * len(item):
-                        rows.append((d, i, shared))
-                yield pa.record_batch(
-                    [docs.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array([len(index.sets[r[1]]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
-                    names=["doc_id", "item_id", "item_shingles", "shared"],
-                )
+                        rows += [(d, x, len(item), shared) for x in index.ids[i]]
+                row, *columns = (pa.array([r[c] for r in rows], pa.int64()) for c in range(4))
+                yield pa.record_batch([part.column("doc_id").take(row), *columns], names=["doc_id", "item_id", "item_shingles", "shared"])
 
     return run
 
 
 def _blocks(items: DataFrame, k: int, percent: int) -> Iterator[Index]:
     """Items with words, one block of bounded size after another; read as an iterator, never all at once."""
-    ids: list[int] = []
-    sets: list[np.ndarray] = []
-
-    def made() -> Index:
-        index = Index(ids, sets, percent)
-        index.k = k
-        return index
-
+    found: dict[bytes, tuple[list[int], np.ndarray]] = {}
+    size = 0
     for row in items.where("item_id is not null").select("item_id", "text").distinct().toLocalIterator():
         s, n = shingles(*word_hashes(pa.array([row.text], pa.string())), k)
-        if n[0]:
-            if ids and (len(ids) >= BLOCK_ITEMS or sum(map(len, sets)) + n[0] > BLOCK_SHINGLES):
-                yield made()
-                ids, sets = [], []
-            ids.append(row.item_id)
-            sets.append(np.unique(s))
-    if ids:
-        yield made()
+        own = np.unique(s)
+        key = hashlib.sha256(own.tobytes()).digest()
+        if n[0] and key in found:
+            found[key][0].append(row.item_id)
+        elif n[0]:
+            if found and (len(found) >= BLOCK_ITEMS or size + len(own) > BLOCK_SHINGLES):
+                yield Index(*map(list, zip(*found.values(), strict=True)), percent)
+                found, size = {}, 0
+            found[key] = ([row.item_id], own)
+            size += len(own)
+    if found:
+        yield Index(*map(list, zip(*found.values(), strict=True)), percent)
 
 
 LINK = "doc_id long, item_id long, item_shingles long, shared long"
@@ -162,22 +160,21 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
     Words are ASCII-lower-cased. A text of fewer than ``k`` words has its whole sequence as the
     one shingle, so such an item matches such a text as a whole only; items and texts without
-    words (null, empty) match nothing. Rows that repeat in ``docs`` or ``items`` count once."""
-    found = None
+    words (null, empty) match nothing. Rows that repeat in ``docs`` or ``items`` count once; an item_id with several
+    texts is found by each and counts the one of which the most is shared; a null doc_id is a document like any other."""
     texts = only(docs, "doc_id", "text")
-    for index in _blocks(items, k, percent):
-        part = texts.mapInArrow(_search([index], percent), LINK)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], LINK)
+    parts = [materialise(texts.mapInArrow(_search(index, k, percent), LINK)) for index in _blocks(items, k, percent)]
+    found = reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], LINK)
     links = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("x")).select("doc_id", "item_id", "x.item_shingles", "x.shared")
     return links.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Documents that hold no item, in all their columns; rows with a null doc_id stay."""
-    held = materialise(contained_items(docs, items, k, percent).select("doc_id").distinct())
-    return docs.join(held, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows that hold no item, in all their columns; each row by its own text, whatever its doc_id (null, repeated)."""
+    row = fresh(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    held = contained_items(numbered.select(F.col(f"`{row}`").alias("doc_id"), "text"), items, k, percent).select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(held, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

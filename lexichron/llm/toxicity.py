@@ -1,11 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts (label 1) are the positives; a sample of all labelled rows, whatever
-their label, is the unlabelled mixture, so no text is ever taken for a confirmed clean one.
-With the class prior p, losses l and a linear score f the risk is
+Confirmed toxic texts (label 1) are the positives; a sample of all documents, labelled or not, is
+the unlabelled mixture, so no text is ever taken for a confirmed clean one and no label but 1 is
+read. With the class prior p, losses l and a linear score f the risk is
     p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]),
 and where the second part falls below zero (more fitting of the unlabelled than the prior
-allows) a step undoes it instead. The prior is the labelled share of toxic rows. The score is
+allows) a step undoes it instead. The prior is not given by labels either: of every set of texts the
+mixture holds at least p times the positives' share, so p is at most the ratio of the two. A first fit on
+four fifths of the sample, with the prior ``FIRST_PRIOR``, orders the other fifth, and the least
+ratio over the sets above its scores is the prior of the final fit on all of the sample. The score is
 then moved so that 0.5 lies where the same risk with zero-one loss is least.
 
 Features are letter runs of the lower-cased text and their prefixes of 4 to 6 letters (word
@@ -29,6 +32,7 @@ from ._common import held_out, materialise, only, table
 from ._tokens import pieces
 
 SAMPLE = 20_000
+FIRST_PRIOR = 0.2
 FEATURES = 4_096
 RATIO = 3.0
 PREFIXES = (4, 5, 6)
@@ -103,17 +107,35 @@ def threshold(f: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> floa
     return float((f[widest] + f[widest + 1]) / 2)
 
 
+def class_prior(f: np.ndarray, p: np.ndarray, u: np.ndarray) -> float:
+    """The least ratio of shares, unlabelled to positive, above any score that at least half of the positives reach; ``p`` and ``u`` mark the rows."""
+    order = np.argsort(-f, kind="stable")
+    f, p, u = f[order], p[order], u[order]
+    ends = np.append(np.flatnonzero(np.diff(f) < -1e-9), len(f) - 1)
+    of_p, of_u = np.cumsum(p)[ends], np.cumsum(u)[ends]
+    far = of_p >= 0.5 * of_p[-1]
+    ratio = ((of_u + 1) / (of_u[-1] + 1))[far] / (of_p / of_p[-1])[far]
+    return float(min(0.9, max(1e-4, ratio.min())))
+
+
+def first_then_final(rows: list[tuple[bool, bool, list[int]]], n_features: int) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and the prior that they were fitted with."""
+    back = [r for i, r in enumerate(rows) if i % 5 == 4]
+    prior = FIRST_PRIOR
+    if any(r[0] for r in back) and any(r[1] for r in back):
+        weights, bias = fit_nnpu([r for i, r in enumerate(rows) if i % 5 < 4], n_features, FIRST_PRIOR)
+        f = np.array([weights[r[2]].sum() + bias for r in back])
+        prior = class_prior(f, np.array([r[0] for r in back], float), np.array([r[1] for r in back], float))
+    return *fit_nnpu(rows, n_features, prior), prior
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
     """Feature weights and bias, learnt from rows that are not held out."""
-    known = materialise(labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") == 1).alias("positive")))
-    n, toxic = known.agg(F.count("*"), F.sum(F.col("positive").cast("int"))).first()
-    if not toxic:
-        return {}, -4.0
-    prior = min(0.9, toxic / n)
-    first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    drawn = first(known.where("positive")).select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled"))
-    drawn = drawn.union(first(known).select("doc_id", F.lit(False), F.lit(True))).groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
-    drawn = materialise(drawn)  # at most 2 * sample rows
+    learnt = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    first = lambda df: df.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    toxic, every = (first(df.where(learnt).select("doc_id")) for df in (labels.where("toxic = 1"), docs))
+    drawn = toxic.select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled")).union(every.select("doc_id", F.lit(False), F.lit(True)))
+    drawn = materialise(drawn.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")))  # at most 2 * sample rows
     # copies of one text count once: else the rare words of a text with many copies look toxic
     texts = materialise(only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")))
     n_p, n_u = (x or 0 for x in texts.agg(F.sum(F.col("positive").cast("int")), F.sum(F.col("unlabelled").cast("int"))).first())
@@ -126,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     place = {r.feature: i for i, r in enumerate(chosen)}
     if not place:
         return {}, -4.0
-    rows = [(r.positive, r.unlabelled, r.at) for r in texts.mapInArrow(_index(place), "positive boolean, unlabelled boolean, at array<int>").toLocalIterator()]
-    weights, bias = fit_nnpu(rows, len(place), prior)
+    indexed = texts.orderBy(F.xxhash64("text"), "text").mapInArrow(_index(place), "positive boolean, unlabelled boolean, at array<int>")
+    weights, bias, _ = first_then_final([(r.positive, r.unlabelled, r.at) for r in indexed.toLocalIterator()], len(place))
     return {x: float(weights[i]) for x, i in place.items()}, bias
 
 
@@ -172,7 +194,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no features and score the bias alone. Without a toxic label to
-    learn from, every score is the same and low. A null doc_id is held out."""
+    learn from, every score is the same and low. A null doc_id is held out. Copies of one text count
+    once in learning; rows that repeat are scored as often; texts of any length are read whole."""
     weights, bias = train(docs, labels)
     scored = only(docs, "doc_id", "text").mapInArrow(_score(weights, bias), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -103,6 +103,19 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.drop_contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == df.count()
 
 
+def test_decontamination_in_blocks_and_by_row(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 3)
+    phrase = lambda i, n=30: " ".join(f"p{i}q{j}" for j in range(n))
+    items = [(i, phrase(i % 8)) for i in range(10)] + [(None, phrase(90))]
+    rows = [(1, "pre " + phrase(0).upper() + " post", 0), (1, "clean text of the same id", 1), (None, phrase(9), 2), (None, phrase(2), 3), (4, phrase(3, 25), 4), (5, phrase(3, 20), 5), (6, phrase(90), 6), (7, None, 7), (8, "x " * 1_500_000 + phrase(7), 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(2)
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contained_items(df, items)
+    assert {(r.doc_id, r.item_id, r.shared) for r in found.collect()} == {(1, 0, 26), (1, 8, 26), (None, 2, 26), (4, 3, 21), (8, 7, 26)}
+    kept = decontamination.drop_contaminated(df, items)
+    assert kept.columns == df.columns and {r.row for r in kept.collect()} == {1, 2, 5, 6, 7}
+
+
 def test_small_items_in_long_texts(spark):
     rng = random.Random(8)
     some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
@@ -308,6 +321,46 @@ def test_every_word_has_its_own_vector(spark):
     assert len(got) == len(rows)
 
 
+def test_risk_has_the_right_gradient():
+    """A step of the fit against numeric differences of the corrected risk, and its non-negative part."""
+    rng = np.random.default_rng(2)
+    rows = [(bool(i % 3 == 0), bool(i % 3), sorted(set(rng.integers(0, 6, 3).tolist()))) for i in range(60)]
+    weights, bias = toxicity.fit_nnpu(rows, 6, 0.3, steps=1, rate=1e-3)
+    p, u = (np.array([r[c] for r in rows], float) for c in (0, 1))
+    p, u = p / p.sum(), u / u.sum()
+
+    def risk(theta):
+        f = np.array([theta[r[2]].sum() for r in rows]) + theta[-1]
+        return 0.3 * (p * np.logaddexp(0, -f)).sum() + max(0.0, ((u - 0.3 * p) * np.logaddexp(0, f)).sum())
+
+    start = np.append(np.zeros(6), np.log(0.3 / 0.7))
+    slope = np.array([(risk(start + e) - risk(start - e)) / 2e-6 for e in np.eye(7) * 1e-6])
+    assert (np.sign(weights) == -np.sign(slope[:6])).all() and np.isfinite(bias)
+
+
+def test_class_prior_needs_no_clean_labels():
+    rng = np.random.default_rng(3)
+    toxic = np.append(np.ones(500, bool), rng.random(4000) < 0.12)
+    p, u = np.arange(4500) < 500, np.arange(4500) >= 500
+    f = np.where(toxic, 3.0, -3.0) + rng.normal(0, 1.0, 4500)
+    assert toxicity.class_prior(f, p.astype(float), u.astype(float)) == pytest.approx(toxic[500:].mean(), abs=0.02)
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(4)
+    made = lambda x: (rng.random(len(x)) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    x = rng.normal(0, 1, (4000, 5))
+    net = quality_classifier.fit_network(x, made(x))
+    x = rng.normal(0, 1, (4000, 5))  # rows that neither the fit nor the temperature has seen
+    y = made(x)
+    prob = 1 / (1 + np.exp(-quality_classifier.logits(x, net)))
+    cut = np.digitize(prob, [0.2, 0.4, 0.6, 0.8])
+    assert all(abs(prob[cut == c].mean() - y[cut == c].mean()) < 0.1 for c in range(5) if (cut == c).sum() > 100)
+    z = quality_classifier.logits(x[:7], net | {"t": np.ones(1)})
+    want = [sum(np.tanh(sum((row[i] - net["mean"][i]) / net["scale"][i] * net["w1"][i][h] for i in range(5)) + net["b1"][h]) * net["w2"][h] for h in range(quality_classifier.HIDDEN)) + net["b2"][0] for row in x[:7]]
+    assert z == pytest.approx(want)
+
+
 def test_models(spark, empty):
     rng = random.Random(3)
     common = [f"w{i}" for i in range(300)]
