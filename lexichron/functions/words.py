@@ -128,12 +128,18 @@ def segment(c: Column) -> Column:
     w = letters(normalise(c), S.ALPHABET_B)
 
     def step(a: Column) -> Column:
-        found = F.coalesce(*[F.when(a["stem"].rlike(f"^.{{2,}}({p})$"), F.regexp_extract(a["stem"], f"({p})$", 1)) for p in S.SEGMENTS])
-        cut = F.struct(F.substr(a["stem"], F.lit(1), F.length(a["stem"]) - F.length(found)).alias("stem"), F.concat(F.array(F.concat(F.lit("-"), found)), a["affixes"]).alias("affixes"))
-        return F.when((F.length(a["stem"]) >= 3) & found.isNotNull(), cut).otherwise(a)
+        stem = a["stem"]
+        ends = [(n, [x for x in group if len(x) == n]) for group in S.SEGMENTS for n in sorted({len(x) for x in group}, reverse=True)]
+        found = F.coalesce(*[F.when((F.length(stem) >= n + 2) & F.right(stem, F.lit(n)).isin(own), F.right(stem, F.lit(n))) for n, own in ends])
+        return F.when(F.length(stem) >= 3, found)
 
-    start = F.struct(w.alias("stem"), F.array().cast("array<string>").alias("affixes"))
-    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(w) / 2)), start, lambda a, _: step(a))
+    def cut(a: Column) -> Column:
+        found = step(a)
+        shorter = F.struct(F.substr(a["stem"], F.lit(1), F.length(a["stem"]) - F.length(found)).alias("stem"), F.concat(F.array(F.concat(F.lit("-"), found)), a["affixes"]).alias("affixes"), F.lit(False).alias("done"))
+        return F.when(a["done"], a).when(found.isNotNull(), shorter).otherwise(F.struct(a["stem"].alias("stem"), a["affixes"].alias("affixes"), F.lit(True).alias("done")))
+
+    start = F.struct(w.alias("stem"), F.array().cast("array<string>").alias("affixes"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.length(w) / 2)), start, lambda a, _: cut(a), lambda a: F.struct(a["stem"].alias("stem"), a["affixes"].alias("affixes")))
 
 
 def layers(stem: Column, affixes: Column) -> Column:
@@ -144,14 +150,24 @@ def to_cyrillic(c: Column) -> Column:
     return F.replace(F.translate(c, S.CYRILLIC_FROM, S.CYRILLIC_TO), F.lit("c"), F.lit(S.CYRILLIC_C))
 
 
+def _shifted(c: Column, pattern: str, to: str) -> Column:
+    """The word with one correspondence applied, or null: at the start (^x), at the end (x$), or everywhere."""
+    x = pattern.strip("^$")
+    if pattern.startswith("^"):
+        return F.when(F.startswith(c, F.lit(x)), F.concat(F.lit(to), F.substr(c, F.lit(len(x) + 1))))
+    if pattern.endswith("$"):
+        return F.when(F.endswith(c, F.lit(x)), F.concat(F.substr(c, F.lit(1), F.length(c) - len(x)), F.lit(to)))
+    return F.when(F.contains(c, F.lit(x)), F.replace(c, F.lit(x), F.lit(to)))
+
+
 def candidates(c: Column) -> Column:
     """The sorted set of forms that a word may have elsewhere: endings, sound shifts, Cyrillic, known roots."""
     none = F.array().cast("array<string>")
     ends = lambda n, forms: F.transform(strings(forms), lambda f: F.concat(F.substr(c, F.lit(1), F.length(c) - n), f))
-    endings = F.when(c.rlike("(gi|ge)$"), ends(2, S.GI_FORMS)).when(c.rlike("(lik|lık)$"), ends(3, S.LIK_FORMS)).otherwise(none)
-    shifted = F.array(*[F.when(c.rlike(p), F.regexp_replace(c, p, r)) for p, r in S.SHIFTS])
+    endings = F.when(F.right(c, F.lit(2)).isin("gi", "ge"), ends(2, S.GI_FORMS)).when(F.right(c, F.lit(3)).isin("lik", "lık"), ends(3, S.LIK_FORMS)).otherwise(none)
+    shifted = F.array(*[_shifted(c, p, r) for p, r in S.SHIFTS])
     latin = F.array_distinct(F.concat(F.array(c), endings, F.filter(shifted, F.isnotnull)))
-    roots = reduce(lambda acc, g: acc.when(c.rlike("|".join(g[0])), strings(g[1])), S.ROOT_FORMS[1:], F.when(c.rlike("|".join(S.ROOT_FORMS[0][0])), strings(S.ROOT_FORMS[0][1]))).otherwise(none)
+    roots = reduce(lambda acc, g: acc.when(holds(c, g[0]), strings(g[1])), S.ROOT_FORMS[1:], F.when(holds(c, S.ROOT_FORMS[0][0]), strings(S.ROOT_FORMS[0][1]))).otherwise(none)
     return F.array_sort(F.array_distinct(F.concat(latin, F.transform(latin, to_cyrillic), roots)))
 
 
@@ -171,7 +187,7 @@ def laws(source: Column, target: Column) -> Column:
 
 
 def laws_text(source: Column, target: Column) -> Column:
-    return F.when(F.size(laws(source, target)) > 0, F.array_join(laws(source, target), "; ")).otherwise(S.NO_LAW)
+    return F.coalesce(F.nullif(F.array_join(laws(source, target), "; "), F.lit("")), F.lit(S.NO_LAW))
 
 
 def letter_overlap(a: Column, b: Column) -> Column:
@@ -180,7 +196,7 @@ def letter_overlap(a: Column, b: Column) -> Column:
 
 
 def chain(source: Column, target: Column) -> Column:
-    """struct(is_valid, score, rules, overlap): whether laws or common letters link the two forms."""
+    """struct(is_valid, score, rules, overlap, violations): whether laws or common letters link the two forms."""
     s, t = unstar(source), target
     s = F.when(s == "", t).otherwise(s)
     skeleton = lambda c: F.regexp_replace(F.translate(c, S.FOLD_FROM, S.FOLD_TO), "[^a-zçğıöşü]", "")
@@ -189,7 +205,8 @@ def chain(source: Column, target: Column) -> Column:
     valid = ruled | (overlap >= 0.3)
     score = F.when(s == t, 1.0).when(ruled, 0.95).when(overlap >= 0.60, 0.85).when(overlap >= 0.30, 0.75).otherwise(0.20)
     rules = F.when(s == t, F.array(F.lit(S.SAME_SOUND))).when(ruled, found).otherwise(F.array(F.lit(S.SKELETON)))
-    return F.struct(((s == t) | valid).alias("is_valid"), score.alias("score"), rules.alias("rules"), overlap.alias("overlap"))
+    broken = F.when((s == t) | valid, F.array().cast("array<string>")).otherwise(F.array(filled(S.BROKEN_CHAIN, s, t)))
+    return F.struct(((s == t) | valid).alias("is_valid"), score.alias("score"), rules.alias("rules"), overlap.alias("overlap"), broken.alias("violations"))
 
 
 def sound_classes(c: Column) -> Column:
@@ -202,7 +219,7 @@ def hamming_table() -> dict[tuple[str, str], float]:
     out = {}
     for a, x in S.ARTICULATION.items():
         for b, y in S.ARTICULATION.items():
-            both = [p != q for p, q in zip(x, y, strict=True) if p != "0" and q != "0"]
+            both = [p != q for p, q in zip(x, y, strict=True) if p and q]
             out[a, b] = math.floor(sum(both) / len(both) * 1000 + 0.5) / 1000
     return out
 
@@ -216,6 +233,12 @@ def ipa(c: Column) -> Column:
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), S.IPA_PAIRS, spelled)
 
 
+def ipa_report(c: Column) -> Column:
+    """struct(ipa, vowel_harmony_status, vowel_count, initial_sound)."""
+    harmony = F.when(disharmonic(c), S.OUT_OF_HARMONY).otherwise(S.IN_HARMONY)
+    return F.struct(F.concat(F.lit("/"), ipa(c), F.lit("/")).alias("ipa"), harmony.alias("vowel_harmony_status"), F.length(vowels(c)).alias("vowel_count"), ipa(first_letter(c)).alias("initial_sound"))
+
+
 def vowels(c: Column) -> Column:
     return F.regexp_replace(c, "[^aeıioöuü]", "")
 
@@ -233,8 +256,26 @@ def phonotactics(c: Column) -> Column:
     return first_letter(c).isin(S.FOREIGN_INITIALS).cast("int") + disharmonic(c).cast("int")
 
 
+def phonotactic_report(c: Column) -> Column:
+    """A sentence on the two breaches."""
+    told = F.concat_ws("; ", F.when(first_letter(c).isin(S.FOREIGN_INITIALS), filled(S.PHONOTACTIC_INITIAL, first_letter(c))), F.when(disharmonic(c), F.lit(S.PHONOTACTIC_HARMONY)))
+    return F.when(told != "", F.concat(F.lit(S.PHONOTACTIC_HEAD), told)).otherwise(S.PHONOTACTIC_CLEAN)
+
+
+def suffix_report(c: Column) -> Column:
+    """A sentence on stem and suffixes; null for an empty word, which has neither."""
+    cut = strip_suffixes(c)
+    bare = F.when(first_letter(c).isin(S.FOREIGN_INITIALS), filled(S.SUFFIX_FOREIGN, c)).otherwise(filled(S.SUFFIX_NONE, cut["stem"]))
+    return F.when(c != "", F.when(F.size(cut["affixes"]) > 0, filled(S.SUFFIX_FOUND, cut["stem"], F.array_join(cut["affixes"], ", "))).otherwise(bare))
+
+
+def fixed_reports(c: Column) -> Column:
+    """struct(alignment, neighbours): sentences that say the same of every word."""
+    return F.struct(filled(S.ALIGNED_TEXT, c).alias("alignment"), filled(S.NEIGHBOUR_TEXT, c).alias("neighbours"))
+
+
 def classify(c: Column) -> Column:
-    """struct(p_native, p_arabic_persian, p_greek_latin, p_western, classification, n_violations)."""
+    """struct(p_native, p_arabic_persian, p_greek_latin, p_western, classification, n_violations, violations); an empty word is native."""
     first = first_letter(c)
     points = lambda cond, n: F.when(cond, F.lit(float(n))).otherwise(0.0)
     total = lambda xs: reduce(lambda a, b: a + b, xs)
@@ -257,7 +298,11 @@ def classify(c: Column) -> Column:
         .otherwise(S.CLASSES["west"])
     )
     breaches = [first.isin(S.RARE_INITIALS), cluster, disharmonic(c), *arabic, *persian, *western]
-    return F.struct(p["native"].alias("p_native"), p["east"].alias("p_arabic_persian"), p["greek"].alias("p_greek_latin"), p["west"].alias("p_western"), label.alias("classification"), total([x.cast("int") for x in breaches]).alias("n_violations"))
+    which = F.coalesce(*[F.when(F.startswith(c, F.lit(x)), F.lit(x)) for x in S.CLUSTERS])
+    texts = [filled(S.BREACH_INITIAL, first), filled(S.BREACH_CLUSTER, which), F.lit(S.BREACH_HARMONY)]
+    texts += [F.lit(form.format(x)) for form, names in ((S.BREACH_ARABIC, [n for _, n in S.ARABIC]), (S.BREACH_PERSIAN, S.PERSIAN), (S.BREACH_WESTERN, S.WESTERN)) for x in names]
+    told = F.filter(F.array(*[F.when(b, t) for b, t in zip(breaches, texts, strict=True)]), F.isnotnull)
+    return F.struct(p["native"].alias("p_native"), p["east"].alias("p_arabic_persian"), p["greek"].alias("p_greek_latin"), p["west"].alias("p_western"), label.alias("classification"), total([x.cast("int") for x in breaches]).alias("n_violations"), told.alias("violations"))
 
 
 def neologism(c: Column) -> Column:
@@ -265,6 +310,11 @@ def neologism(c: Column) -> Column:
     return F.when(F.length(c) >= 3, F.coalesce(*[F.when(c.rlike(p), F.lit(i)) for i, p in enumerate(S.NEOLOGISMS, 1)]))
 
 
+def neologism_report(c: Column) -> Column:
+    """struct(is_neologism, derivation_type, etymology_details) of a coined word, else null."""
+    return F.when(neologism(c).isNotNull(), F.struct(F.lit(True).alias("is_neologism"), F.lit(S.NEOLOGISM_TYPE).alias("derivation_type"), neologism_proof(c).alias("etymology_details")))
+
+
 def proto_form(c: Column) -> Column:
     stem = strip_suffixes(c)["stem"]
     hard = F.when(F.startswith(stem, F.lit("h")), F.concat(F.lit("k"), F.substr(stem, F.lit(2)))).when(F.startswith(stem, F.lit("d")), F.concat(F.lit("t"), F.substr(stem, F.lit(2)))).otherwise(stem)
@@ -285,6 +335,15 @@ def unattested_form(c: Column) -> Column:
     return F.when(w == "", F.lit("")).otherwise(F.concat(F.lit("*"), first, F.regexp_replace(F.substr(w, F.lit(2)), "[zs]$", "ŕ")))
 
 
+def unattested_report(c: Column, entries: Column | None = None) -> Column:
+    """struct(form, confidence, rules, notes): surer where more than one entry has a word of two letters or more; an empty word has no form."""
+    w, form = letters(normalise(c), S.ALPHABET_B), unattested_form(c)
+    others = F.size(F.filter(entries, lambda e: F.length(letters(e["word"], S.ALPHABET_B)) >= 2)) if entries is not None else F.lit(0)
+    sure = F.when(w == "", 0.0).when(others > 1, 0.88).otherwise(0.75)
+    rules = F.when(w == "", F.array().cast("array<string>")).otherwise(strings(S.UNATTESTED_RULES))
+    return F.struct(form.alias("form"), sure.alias("confidence"), rules.alias("rules"), F.when(w == "", S.UNATTESTED_EMPTY).otherwise(filled(S.UNATTESTED_NOTES, w, form)).alias("notes"))
+
+
 def induced_laws(source: Column, target: Column) -> Column:
     """Rule ids in the order initial, final, vowels; equal or empty words have none."""
     s, t = letters(source, S.ALPHABET_B), letters(target, S.ALPHABET_B)
@@ -304,6 +363,27 @@ def induction(source: Column, target: Column) -> Column:
     return F.struct(rules.alias("rules"), sure.alias("confidence"))
 
 
+def law_structs(source: Column, target: Column) -> Column:
+    """Array of struct(rule_id, pattern, position, description) of the rules of :func:`induced_laws`."""
+    s, t = letters(source, S.ALPHABET_B), letters(target, S.ALPHABET_B)
+    right = lambda c: F.right(c, F.lit(1))
+
+    def law(rule: Column) -> Column:
+        initial, final = F.startswith(rule, F.lit("INITIAL_")), F.startswith(rule, F.lit("FINAL_"))
+        pick = lambda a, b, c: F.when(initial, a).when(final, b).otherwise(c)
+        pattern = pick(filled("#{} -> #{}", first_letter(s), first_letter(t)), filled("{}# -> {}#", right(s), right(t)), filled("{} -> {}", vowels(s), vowels(t)))
+        told = pick(filled(S.LAW_INITIAL, first_letter(s), first_letter(t)), filled(S.LAW_FINAL, right(s), right(t)), filled(S.LAW_VOWELS, vowels(s), vowels(t)))
+        return F.struct(rule.alias("rule_id"), pattern.alias("pattern"), pick(F.lit("initial"), F.lit("final"), F.lit("medial")).alias("position"), told.alias("description"))
+
+    return F.transform(induced_laws(source, target), law)
+
+
+def evidence(entries: Column) -> Column:
+    """Lines ``language (word): meaning`` of the first six entries, of those with a meaning that isn't a placeholder."""
+    told = F.filter(F.slice(entries, 1, 6), lambda e: (F.coalesce(e["meaning"], F.lit("")) != "") & ~F.startswith(e["meaning"], F.lit("Online")))
+    return F.transform(told, lambda e: filled("{} ({}): {}", e["lang_name"], e["word"], e["meaning"]))
+
+
 def references(c: Column) -> Column:
     found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?iu)" + p), F.lit(1)) for p in S.REFERENCES]))
     return F.filter(F.array_distinct(F.transform(found, F.lower)), lambda x: F.length(x) >= 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..functions import words as W
 from ..functions.alignment import alignment
 from ..functions.drift import DIMENSIONS, meaning_distance
 
-GRAPH = ["word", "root", "hypothesis_type", "attestations", "cognates"]
+GRAPH = ["word", "root", "hypothesis_type", "attestations", "cognates", "donor_language", "confidence"]
+PROPERTIES = [("word", "string"), ("lang", "string"), ("confidence_score", "double"), ("donor_language", "string"), ("record", "string")]
 
 
 def placeholder(meaning: Column) -> Column:
@@ -18,11 +21,12 @@ def placeholder(meaning: Column) -> Column:
 
 
 def merge_entries(entries: DataFrame) -> DataFrame:
-    """One entry for each (query_word, lang_code, word): the earliest that isn't a placeholder, else the earliest, by priority and ordinal."""
+    """One entry for each (query_word, lang_code, word): the earliest that isn't a placeholder, else the earliest, by priority and
+    ordinal. It stands where the key was first met: priority and ordinal are those of the key's earliest entry."""
     order = F.struct(placeholder(F.col("meaning")).alias("p"), "priority", "ordinal")
-    rest = [c for c in entries.columns if c not in ("query_word", "lang_code", "word")]
-    best = entries.groupBy("query_word", "lang_code", "word").agg(F.min_by(F.struct(*rest), order).alias("e"))
-    return best.select("query_word", "lang_code", "word", "e.*")
+    rest = [c for c in entries.columns if c not in ("query_word", "lang_code", "word", "priority", "ordinal")]
+    best = entries.groupBy("query_word", "lang_code", "word").agg(F.min_by(F.struct(*rest), order).alias("e"), F.min(F.struct("priority", "ordinal")).alias("first"))
+    return best.select("query_word", "lang_code", "word", "e.*", "first.*")
 
 
 def rank_of(code: Column) -> Column:
@@ -55,16 +59,24 @@ def drift_of(distance: Column) -> Column:
     return F.struct(distance.alias("distance"), speed.alias("acceleration"), (speed <= 0.85).alias("plausible"))
 
 
-def referee(hypotheses: DataFrame, *keep: str) -> DataFrame:
+def referee(hypotheses: DataFrame, *keep: str, report: bool = False) -> DataFrame:
     """Verdicts on (id, word, origin, donor, proof, meaning, attestation): sounds .35, dates .30, meaning .15, cognates .20.
 
-    Rows are judged where they lie, nothing is shuffled; the columns named in ``keep`` are passed on."""
+    Rows are judged where they lie, nothing is shuffled; the columns named in ``keep`` are passed on. With ``report``
+    the verdict's badge, percentage, stages and reasons follow."""
     origin = W.unstar(F.trim(F.coalesce("origin", F.lit(""))))
     base = hypotheses.withColumn("from", F.when(origin == "", F.col("word")).otherwise(origin)).withColumn("chain", W.chain(W.normalise(F.col("from")), W.normalise(F.col("word"))))
     base = base.withColumns({"a": W.letters(F.col("from"), S.ALPHABET_A), "b": W.letters(F.col("word"), S.ALPHABET_A)})
     base = base.withColumns({"al": alignment("a", "b"), "distance": meaning_distance(F.lower("meaning"), F.lower("proof"))})
     known = (F.coalesce("meaning", F.lit("")) != "") & (F.coalesce("proof", F.lit("")) != "")
     source = F.concat(F.coalesce("donor", F.lit("")), F.lit(" "), F.coalesce("proof", F.lit("")))
+    more = []
+    if report:
+        text = lambda x: x.cast("string")
+        speed, forms = drift_of(F.col("distance"))["acceleration"], W.candidates(W.normalise(F.col("word")))
+        anachronism = F.when(~W.time_lock(source, F.col("attestation")), W.filled(S.ANACHRONISM, source, text(W.year(source)), F.col("attestation"), text(W.year(F.col("attestation")))))
+        sense = F.when(~known, S.NO_SENSE).when(speed <= 0.85, S.GOOD_SENSE).otherwise(W.filled(S.BAD_SENSE, text(speed)))
+        more = [F.col("chain.rules").alias("rules"), F.col("chain.violations").alias("violations"), "al", anachronism.alias("time_violation"), sense.alias("sense_reason"), F.size(forms).alias("cognate_count"), F.slice(forms, 1, 6).alias("sample_cognates")]
     staged = base.select(
         *keep, "id", "word", F.col("from").alias("origin"), F.col("al.similarity").alias("similarity"),
         (F.col("chain.is_valid") & ((F.col("al.similarity") > 0.15) | (F.col("from") == F.col("word")))).alias("sound_valid"),
@@ -73,34 +85,52 @@ def referee(hypotheses: DataFrame, *keep: str) -> DataFrame:
         W.time_lock(source, F.col("attestation")).alias("time_valid"),
         F.when(known, F.greatest(F.lit(0.20), W.round_n(1.0 - F.col("distance"), 3))).otherwise(0.85).alias("sense"),
         F.when(W.has_candidates(W.normalise(F.col("word"))), 0.95).otherwise(0.60).alias("cognate"),
+        *more,
     )
     score = F.col("sound") * 0.35 + F.col("time_valid").cast("double") * 0.30 + F.col("sense") * 0.15 + F.col("cognate") * 0.20
     score = F.when(F.col("sound_valid"), score).otherwise(score * 0.4)
     score = F.when(F.col("time_valid"), score).otherwise(F.least(score, F.lit(0.30)))
     free = F.col("chain_valid") & F.col("time_valid")  # reasons to reject come from a broken chain or a date
     status = F.when(free & (F.col("total") >= 0.75), "VALIDATED").when(free & (F.col("total") >= 0.50), "NEEDS_REVIEW").otherwise("REJECTED")
-    return staged.withColumn("total", score).withColumn("status", status).withColumn("confidence", W.round_n(F.col("total"), 3)).drop("total", "chain_valid")
+    judged = staged.withColumn("total", score).withColumn("status", status).withColumn("confidence", W.round_n(F.col("total"), 3))
+    if report:
+        badge = reduce(lambda acc, kv: acc.when(F.col("status") == kv[0], F.lit(kv[1])), list(S.BADGES.items())[1:], F.when(F.col("status") == "VALIDATED", F.lit(S.BADGES["VALIDATED"])))
+        percent = F.concat(F.lit("%"), W.round_n(F.col("total") * 100, 1).cast("string"))
+        late = F.filter(F.array("time_violation"), F.isnotnull)
+        judged = judged.withColumns({"badge": badge, "score_percentage": percent, "rejection_reasons": F.concat(F.when(F.col("sound_valid"), F.array().cast("array<string>")).otherwise(F.col("violations")), late)})
+    return judged.drop("total", "chain_valid")
+
 
+def node_list(w: Column, root: Column, hypothesis_type: Column, attestations: Column, cognates: Column, donor: Column, confidence: Column) -> Column:
+    """Array of struct(node_id, kind, label, properties): the word, its root, the case, at most 4 attestations and 5 cognates."""
+    donor = F.coalesce(donor, F.lit(S.NATIVE_DONOR))
+
+    def node(i: Column, kind: str, label: Column, **told: Column) -> Column:
+        properties = F.struct(*[told.get(k, F.lit(None)).cast(t).alias(k) for k, t in PROPERTIES])
+        return F.struct(i.alias("node_id"), F.lit(kind).alias("kind"), label.alias("label"), properties.alias("properties"))
 
-def node_list(w: Column, root: Column, hypothesis_type: Column, attestations: Column, cognates: Column) -> Column:
-    """Array of struct(node_id, kind, label): the word, its root, the case, at most 4 attestations and 5 cognates."""
-    node = lambda i, k, l: F.struct(i.alias("node_id"), F.lit(k).alias("kind"), l.alias("label"))  # noqa: E731, E741
     root = W.unstar(F.coalesce(F.nullif(root, F.lit("")), w))
-    case = F.concat(F.lit("Vaka: "), F.substring(F.coalesce(hypothesis_type, F.lit("Etimoloji Hipotezi")), 1, 25))
-    fixed = F.array(node(F.concat(F.lit("word_"), w), "Word", w), node(F.concat(F.lit("proto_"), root), "ProtoForm", F.concat(F.lit("*"), root)), node(F.concat(F.lit("case_"), w), "Case", case))
-    some = lambda c, n, p, k: F.transform(F.slice(c, 1, n), lambda x, i: node(F.concat(F.lit(p), w, F.lit("_"), i.cast("string")), k, F.substring(x, 1, 30) if k == "Attestation" else x))
-    return F.concat(fixed, some(attestations, 4, "att_", "Attestation"), some(cognates, 5, "cog_", "Cognate"))
+    case = F.concat(F.lit(S.CASE_LABEL), F.substring(F.coalesce(hypothesis_type, F.lit(S.CASE_DEFAULT)), 1, 25))
+    starred = F.concat(F.lit("*"), root)
+    fixed = F.array(
+        node(F.concat(F.lit("word_"), w), "Word", w, word=w, lang=F.lit("tr")),
+        node(F.concat(F.lit("proto_"), root), "ProtoForm", starred, word=starred, lang=donor),
+        node(F.concat(F.lit("case_"), w), "Case", case, confidence_score=F.coalesce(confidence, F.lit(0.90)), donor_language=donor),
+    )
+    numbered = lambda p, i: F.concat(F.lit(p), w, F.lit("_"), i.cast("string"))
+    records = F.transform(F.slice(attestations, 1, 4), lambda x, i: node(numbered("att_", i), "Attestation", F.substring(x, 1, 30), record=x))
+    return F.concat(fixed, records, F.transform(F.slice(cognates, 1, 5), lambda x, i: node(numbered("cog_", i), "Cognate", x, word=x)))
 
 
 def graph_nodes(words: DataFrame) -> DataFrame:
-    """(word, node_id, kind, label) of words with (word, root, hypothesis_type, attestations, cognates), by :func:`node_list`."""
+    """(word, node_id, kind, label, properties) of words with the columns ``GRAPH``, by :func:`node_list`."""
     return words.select("word", F.inline(node_list(*map(F.col, GRAPH))))
 
 
 def edge_list(w: Column, root: Column, attestations: Column, cognates: Column) -> Column:
-    """Array of struct(edge_id, source, target, relation): the word from its root, its case and attestations, the root to its cognates."""
+    """Array of struct(edge_id, source, target, relation, label): the word from its root, its case and attestations, the root to its cognates."""
     root = F.concat(F.lit("proto_"), W.unstar(F.coalesce(F.nullif(root, F.lit("")), w)))
-    edge = lambda s, t, r: F.struct(F.concat(F.lit("edge_"), s, F.lit("_"), t).alias("edge_id"), s.alias("source"), t.alias("target"), F.lit(r).alias("relation"))
+    edge = lambda s, t, r: F.struct(F.concat(F.lit("edge_"), s, F.lit("_"), t).alias("edge_id"), s.alias("source"), t.alias("target"), F.lit(r).alias("relation"), F.lit(S.EDGE_LABELS[r]).alias("label"))
     me = F.concat(F.lit("word_"), w)
     ids = lambda c, n, p: F.transform(F.slice(c, 1, n), lambda _, i: F.concat(F.lit(p), w, F.lit("_"), i.cast("string")))
     fixed = F.array(edge(root, me, "DERIVED_FROM"), edge(me, F.concat(F.lit("case_"), w), "HAS_CASE"))
@@ -108,8 +138,14 @@ def edge_list(w: Column, root: Column, attestations: Column, cognates: Column) -
 
 
 def graph_edges(words: DataFrame) -> DataFrame:
-    """(word, edge_id, source, target, relation) of words with the columns of :func:`graph_nodes`, by :func:`edge_list`."""
-    return words.select("word", F.inline(edge_list(*[F.col(c) for c in GRAPH if c != "hypothesis_type"])))
+    """(word, edge_id, source, target, relation, label) of words with the columns of :func:`graph_nodes`, by :func:`edge_list`."""
+    return words.select("word", F.inline(edge_list(*map(F.col, ["word", "root", "attestations", "cognates"]))))
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(word, node_count, edge_count)."""
+    each = nodes.select("word", F.lit(1).alias("n"), F.lit(0).alias("e")).union(edges.select("word", F.lit(0), F.lit(1)))
+    return each.groupBy("word").agg(F.sum("n").alias("node_count"), F.sum("e").alias("edge_count"))
 
 
 def graph_elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,6 +182,12 @@ def adjacent_pairs(words: DataFrame) -> DataFrame:
     return words.select(F.col("w").alias("a"), F.lead("w").over(Window.partitionBy(F.substring("w", 1, 3)).orderBy("w")).alias("b")).where("b is not null")
 
 
+def initial_pairs(words: DataFrame) -> DataFrame:
+    """(a, b): words that differ in their first letter alone, a before b. A remainder has no more words than the alphabet has letters."""
+    cut = lambda c: words.where("length(w) > 1").select(F.substring("w", 2, 2147483647).alias("rest"), F.col("w").alias(c))
+    return cut("a").join(cut("b"), "rest").where("a < b").select("a", "b")
+
+
 def stored_list(findings: DataFrame, created: str, number: str) -> DataFrame:
     """All stored rows, the newest first; of equal times the higher number."""
     return findings.orderBy(F.desc(created), F.desc(number))

@@ -120,7 +120,7 @@ def test_search_analyses(spark):
     for w, root in roots.items():
         f, a = got[w], got[w]["alignment"]
         assert (a["score"], a["similarity"], a["distance"], a["aligned_source"], a["aligned_target"]) == align(root, w)
-        assert len(a["source_classes"]) == len(root) and set(f["probabilities"]) == {"p_native", "p_arabic_persian", "p_greek_latin", "p_western", "n_violations"}
+        assert len(a["source_classes"]) == len(root) and set(f["probabilities"]) == {"p_native", "p_arabic_persian", "p_greek_latin", "p_western", "n_violations", "violations"}
         assert f["reconstruction"]["reconstructible"] == (w != "fener") and f["reconstruction"]["form"].startswith("*")
         assert f["unattested"]["attestation"] and f["unattested"]["status"] and f["graph"]["node_count"] == len(f["graph"]["nodes"]) == 1 + f["graph"]["edge_count"]
         assert {n["node_id"] for n in f["graph"]["nodes"]} >= {e[k] for e in f["graph"]["edges"] for k in ("source", "target")}
@@ -142,6 +142,36 @@ def test_hypotheses(spark):
     assert open_["göz"].origin == "*göŕ" and open_["fener"].origin == "fener" and open_["bilimsel"].origin == "*bilim"
 
 
+def test_reports(spark):
+    assert one(spark, W.classify, "psikoloji").violations == ["Söz başı 'p' harfi Öz Türkçede bulunmaz", "Büyük ünlü uyumsuzluğu", "Batı dili -loji soneki tespit edildi"]
+    assert one(spark, W.classify, "tren").violations == ["Söz başı çift ünsüz 'tr' (Batı Alıntısı)"] and one(spark, W.classify, "").p_native == 1.0
+    assert one(spark, W.neologism_report, "bilimsel").is_neologism and one(spark, W.neologism_report, "göz") is None
+    assert one(spark, W.phonotactic_report, "göz").startswith("Fonotaktik Analiz Temiz") and "; Büyük" in one(spark, W.phonotactic_report, "herkal")
+    assert [one(spark, W.suffix_report, w) for w in ("güzellik", "su", "fener", "")] == ["Morfotaktik Analiz: Kök: 'güzel' | Tespit Edilen Ekler: -lik", "Morfotaktik Analiz: 'su' yalın kök yapısındadır.", "Morfotaktik Analiz: 'fener' alıntı veya ağız biçimi olarak yalın yapıdadır.", None]
+    assert tuple(one(spark, W.ipa_report, "çağrı")) == ("/tʃɑɰrɯ/", "Tam Uyumlu", 2, "tʃ") and one(spark, W.fixed_reports, "su").alignment.endswith("%88.5.")
+    laws = one(spark, W.law_structs, "*teŋiz", "deniz")
+    assert [(x.rule_id, x.pattern, x.position) for x in laws] == [("INITIAL_T_D", "#t -> #d", "initial")] and laws[0].description == "Söz başı t- ünsüzünün d- ünsüzüne dönüşmesi"
+    assert one(spark, W.chain, "xyzq", "göbek").violations and one(spark, W.chain, "su", "su").violations == []
+    both = spark.createDataFrame([("korak", [("qorak",), ("a",), ("gorax",)]), ("korak", [("qorak",)]), ("", [])], "w string, e array<struct<word:string>>")
+    assert [tuple(r.x)[:2] for r in both.select(W.unattested_report(F.col("w"), F.col("e")).alias("x")).collect()] == [("*gorak", 0.88), ("*gorak", 0.75), ("", 0.0)]
+    entries = spark.createDataFrame([([("Türkçe", "su", "su, sıvı"), ("Kazakça", "су", "Online kayıt"), ("x", "y", "")],)], "e array<struct<lang_name:string,word:string,meaning:string>>")
+    assert entries.select(W.evidence(F.col("e")).alias("x")).first().x == ["Türkçe (su): su, sıvı"]
+
+
+def test_referee_report(spark):
+    rows = [("a", "göz", "*göŕ", "Proto-Türkçe M.Ö. 500", "kök", "göz", "8. yüzyıl Orhun Yazıtları (kös)"), ("b", "su", "sous", "Fransızca (1950 üretimi)", "x", "su", "735 Orhun"), ("c", "göz", "xtp", "", "", "y", "")]
+    got = {r.id: r for r in R.referee(spark.createDataFrame(rows, "id string, word string, origin string, donor string, proof string, meaning string, attestation string"), report=True).collect()}
+    assert got["a"].badge.startswith("🟢") or got["a"].badge.startswith("🟡")
+    assert got["b"].badge.startswith("🔴") and "ANAKRONİZM ENGELİ" in got["b"].rejection_reasons[0] and got["b"].score_percentage == "%30.0"
+    assert got["c"].rejection_reasons == got["c"].violations and "Broken Phonetic Chain" in got["c"].violations[0] and got["c"].cognate_count > 6 == len(got["c"].sample_cognates)
+
+
+def test_merge_keeps_the_first_place(spark):
+    rows = [("su", "tr", "su", "", 1, 5), ("su", "tr", "su", "water", 9, 0), ("su", "az", "su", "x", 2, 0)]
+    got = {r.lang_code: (r.meaning, r.priority, r.ordinal) for r in R.merge_entries(spark.createDataFrame(rows, "query_word string, lang_code string, word string, meaning string, priority int, ordinal int")).collect()}
+    assert got == {"tr": ("water", 1, 5), "az": ("x", 2, 0)}
+
+
 def test_latin(spark):
     assert [one(spark, W.to_latin, w) for w in ("Жұлдыз съ", "су", "كتاب", "Straße")] == ["ZHұldız s", "su", "كtab", "Straße"]
 
@@ -157,7 +187,7 @@ def test_drift_kernel(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     table = {(r.id, r.dim): r.weight for r in R.gram_weights(rows, "id", "text").collect()}
     for i, text in enumerate(texts):
-        assert [table.get((i, d), 0.0) for d in range(64)] == vector(text).tolist()
+        assert [table.get((i, d), 0.0) for d in range(64)] == (vector(text) / 10_000).tolist()
     both = spark.createDataFrame([(1, "su", "su"), (2, "su", None), (3, " ", "su"), (4, "abc", "xyz")], "id long, a string, b string")
     got = {r.id: r for r in R.drift(both, "id", "a", "b").collect()}
     assert [got[i].distance for i in (1, 2, 3)] == [0.0, 0.0, 0.0] and got[4].distance > 0.9 and not got[4].plausible
