@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import held_out, only, table
-from ._packing import pack, pack_sorted, unpack, unpack_sorted
+from ._packing import pack, pack_ranks, pack_sorted, unpack, unpack_ranks, unpack_sorted
 from ._tokens import mix, pieces, word_hashes
 
 ORDER = 3
@@ -42,25 +42,28 @@ MU = 4.0
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 LEAST_RANGES = 32
+#: Different words that a task counts before it tells them.
+TASK_WORDS = 2_000_000
 LANE = 64
 START, END = np.uint64(0x51A7), np.uint64(0xE4D)  # no word's hash but by a chance of 2**-64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+VOCABULARY = "part int, tokens long, size long, keys binary"
 REQUEST = "block long, part int, print long, sizes array<long>, keys array<binary>, counts array<binary>"
 REPLY = "block long, part int, print long, counts array<binary>"
 TOKENS = "block long, print long, doc_ids array<long>, held array<boolean>, sizes binary, words long, keys binary, by_rank binary, ranks binary"
 
 
-def grams(tokens: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(tokens: np.ndarray, n: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """The key of the m-gram that ends at each token, for m = 1 to ``order``; texts begin with START. Before a text's (m - 1)th token, m > 2, there is none and the key is not to be used."""
-    first = np.cumsum(n) - n
-    keys = [tokens]
+    first, keys = np.cumsum(n) - n, tokens
+    yield keys
     for m in range(2, order + 1):
         before = np.empty_like(tokens)
-        before[1:] = keys[-1][:-1]
+        before[1:] = keys[:-1]
         if m == 2:
             before[first] = START
-        keys.append(mix(before * _ODD + tokens))
-    return keys
+        keys = mix(before * _ODD + tokens)
+        yield keys
 
 
 def offsets(n: np.ndarray) -> np.ndarray:
@@ -112,20 +115,20 @@ def _ask(parts: int, order: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, mark, _, held, tokens, n in _blocks(batches, size):
             learnt, place = np.repeat(~held, n), offsets(n)
-            kinds = []
+            sizes, packed, counted = np.zeros((order, parts), np.int64), [], []
             for m, x in enumerate(grams(tokens, n, order), 1):
                 there = place >= m - 2
                 keys, which = np.unique(x[there], return_inverse=True)
                 counts = np.bincount(which[learnt[there]], minlength=len(keys))
-                kinds.append((keys, counts, np.append(np.searchsorted(keys, _borders(parts)), len(keys))))
-            some = [p for p in range(parts) if any(at[p] < at[p + 1] for *_, at in kinds)]
-            cut = [[(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for keys, counts, at in kinds] for p in some]
+                at = np.append(np.searchsorted(keys, _borders(parts)), len(keys))
+                sizes[m - 1] = np.diff(at)
+                packed.append([pack_sorted(keys[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+                counted.append([pack(counts[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+            some = np.flatnonzero(sizes.any(axis=0)).tolist()
             yield pa.record_batch(
                 [
                     pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([mark] * len(some), pa.int64()),
-                    pa.array([[len(k) for k, _ in row] for row in cut], pa.list_(pa.int64())),
-                    pa.array([[pack_sorted(k) for k, _ in row] for row in cut], pa.list_(pa.binary())),
-                    pa.array([[pack(c) for _, c in row] for row in cut], pa.list_(pa.binary())),
+                    pa.array([sizes[:, p].tolist() for p in some], pa.list_(pa.int64())), pa.array([[x[p] for x in packed] for p in some], pa.list_(pa.binary())), pa.array([[x[p] for x in counted] for p in some], pa.list_(pa.binary())),
                 ],
                 names=["block", "part", "print", "sizes", "keys", "counts"],
             )
@@ -133,12 +136,36 @@ def _ask(parts: int, order: int, size: int):
     return run
 
 
+def _vocabulary(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's trained words and their count of tokens, by hash range; told in between where there are more than ``TASK_WORDS``."""
+        words, tokens = np.zeros(0, np.uint64), 0
+
+        def told():
+            at = np.append(np.searchsorted(words, _borders(parts)), len(words))
+            return pa.record_batch(
+                [pa.array(range(parts), pa.int32()), pa.array([tokens] + [0] * (parts - 1), pa.int64()), pa.array(np.diff(at)), pa.array([pack_sorted(words[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                names=["part", "tokens", "size", "keys"],
+            )
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                h, n = _with_ends(*word_hashes(part.column("text")))
+                own = h[np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), n)]
+                words, tokens = np.union1d(words, own), tokens + len(own)
+                if len(words) > TASK_WORDS:
+                    yield told()
+                    words, tokens = np.zeros(0, np.uint64), 0
+        if tokens:
+            yield told()
+
+    return run
+
+
 def _types(group: pa.Table) -> pa.Table:
     """Trained tokens and their types in one hash range."""
-    rows = group.select(["sizes", "keys", "counts"]).to_pylist()
-    counts = [unpack(r["counts"][0]) for r in rows]
-    trained = np.concatenate([unpack_sorted(r["keys"][0], r["sizes"][0])[c > 0] for r, c in zip(rows, counts, strict=True)])
-    return pa.table({"tokens": [int(sum(c.sum() for c in counts))], "types": [len(np.unique(trained))]})
+    words = [unpack_sorted(b, n) for b, n in zip(group.column("keys").to_pylist(), group.column("size").to_pylist(), strict=True)]
+    return pa.table({"tokens": [sum(group.column("tokens").to_pylist())], "types": [len(np.unique(np.concatenate(words)))]})
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -169,7 +196,7 @@ def _sequences(size: int):
             yield pa.record_batch(
                 [
                     pa.array([number], pa.int64()), pa.array([mark], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([pack(n)], pa.binary()),
-                    pa.array([len(keys)], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(by_rank)], pa.binary()), pa.array([pack(rank[which])], pa.binary()),
+                    pa.array([len(keys)], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(by_rank)], pa.binary()), pa.array([pack_ranks(rank[which])], pa.binary()),
                 ],
                 names=["block", "print", "doc_ids", "held", "sizes", "words", "keys", "by_rank", "ranks"],
             )
@@ -185,7 +212,7 @@ class Automaton:
     after a context of d words, whether or not it was seen."""
 
     def __init__(self, tokens: np.ndarray, n: np.ndarray, counts, total: int, types: int, texts: int, order: int = ORDER, mu: float = MU):
-        place, every = offsets(n), grams(tokens, n, order)
+        place = offsets(n)
         start = np.cumsum(n) - n
         depth, fail_to, context = [np.array([0, 1])], [np.array([0, 0])], [np.array([0.0, texts])]
         seen, weight, to = [np.array([False])], [np.zeros(1)], [np.zeros(1, np.int64)]  # arc 0 is none
@@ -194,7 +221,7 @@ class Automaton:
         before = np.zeros(len(tokens))  # count of the context before each token
         prob = np.zeros(len(tokens))  # probability in the order below
         arcs, states = 1, 2
-        for m, x in enumerate(every, 1):
+        for m, x in enumerate(grams(tokens, n, order), 1):
             there = np.flatnonzero(place >= m - 2)
             keys, first, which = np.unique(x[there], return_index=True, return_inverse=True)
             c, first = counts(m, keys).astype(float), there[first]
@@ -263,7 +290,7 @@ def _traverse(total: int, types: int, texts: int, order: int, mu: float):
             raise ValueError("a block of texts was not read twice in the same order")
         bag, answers = bags.to_pylist()[0], replies.sort_by("part").column("counts").to_pylist()
         n = unpack(bag["sizes"])
-        tokens = unpack_sorted(bag["keys"], bag["words"])[unpack(bag["by_rank"])[unpack(bag["ranks"])]]
+        tokens = unpack_sorted(bag["keys"], bag["words"])[unpack(bag["by_rank"])[unpack_ranks(bag["ranks"])]]
 
         def counts(m: int, keys: np.ndarray) -> np.ndarray:
             found = np.concatenate([unpack(x[m - 1]) for x in answers])
@@ -294,7 +321,7 @@ def score_texts(docs: DataFrame, divisor: int = 7, at: int = 2, order: int = ORD
     rows = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), divisor, at).alias("held_out"))
     bytes_, texts = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.when(~F.col("held_out"), 1))).first()
     parts = max(LEAST_RANGES, -(-(bytes_ or 0) // range_bytes))
-    words = rows.mapInArrow(_ask(parts, 1, block_bytes), REQUEST).groupBy("part").applyInArrow(_types, "tokens long, types long")
+    words = rows.mapInArrow(_vocabulary(parts), VOCABULARY).groupBy("part").applyInArrow(_types, "tokens long, types long")
     total, types = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("types")).first())
     replies = rows.mapInArrow(_ask(parts, order, block_bytes), REQUEST).groupBy("part").applyInArrow(_answer, REPLY)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexichron.llm import decontamination, language_model, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, toxicity, url_filters
-from lexichron.llm._packing import pack, pack_sorted, unpack, unpack_sorted
+from lexichron.llm._packing import pack, pack_ranks, pack_sorted, unpack, unpack_ranks, unpack_sorted
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, family long, node int, stratum string, line long"
 ITEM = " ".join(f"item{i}" for i in range(20))
@@ -176,6 +176,8 @@ def test_packing_loses_nothing():
         assert (unpack_sorted(pack_sorted(keys), len(keys)) == keys).all()
         x = rng.integers(-(1 << 40), 1 << 40, n) >> rng.integers(0, 41, n)
         assert (unpack(pack(x)) == x).all()
+        x = rng.integers(0, 1 << 31, n) >> rng.integers(0, 31, n)
+        assert (unpack_ranks(pack_ranks(x)) == x).all()
     dense = np.arange(300, dtype=np.uint64)
     assert (unpack_sorted(pack_sorted(dense), 300) == dense).all()
 
