@@ -54,6 +54,13 @@ def candidate_list(w: str) -> str:
     return f"list_sort(list_distinct(list_concat({latin}, list_transform({latin}, lambda f: {cyrillic}), {roots})))"
 
 
+def translated(c: str) -> str:
+    """A meaning by the first key that it holds, else bare of templates and brackets."""
+    bare = rf"trim(regexp_replace(trim(regexp_replace(trim({c}), '\{{\{{.*?\}}\}}', '', 'g')), '\[\[(.*?)\]\]', '\1', 'g'))"
+    known = " ".join(f"WHEN contains(lower({bare}), {q(k)}) THEN {q(v)}" for k, v in S.MEANINGS)
+    return f"CASE WHEN trim({c}) = '' OR starts_with(trim({c}), 'Online') THEN trim({c}) {known} WHEN {bare} <> '' THEN {bare} ELSE {c} END"
+
+
 def year(c: str) -> str:
     sign = rf"(CASE WHEN regexp_matches(lower({c}), 'm\.ö|mö|bc') THEN -1 ELSE 1 END)"
     named = " ".join(f"WHEN regexp_matches(lower({c}), '{'|'.join(k)}') THEN {y}" for k, y in S.PERIODS)

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import seeds as S
 from ..functions import words as W
 from ..functions.alignment import alignment
-from ..operators import hypotheses as H
 from ..operators import relational as R
-from ..sources import lexicon, parsers
+from ..sources import lexicon
 from . import oracle
-from .oracle import align, candidate_list, drift, edits, laws, letters, listed, overlap, picked, q, rounded, rx, year
-from .search import finding_json, search
+from .oracle import align, candidate_list, drift, edits, laws, letters, listed, overlap, picked, q, rounded, rx, translated, year
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -511,57 +509,6 @@ def referee_report(spark, d):
     return told.withColumns(joined).select("id", "word", "status", "confidence", "badge", "score_percentage", "rules", "violations", "al.raw", "al.aligned_a", "al.aligned_b", "time_violation", "sense_reason", "cognate_count", "sample_cognates", "rejection_reasons")
 
 
-def _heads(spark, d):
-    heads = lexicon.entries(spark).select(F.col("headword").alias("query_word")).distinct()
-    return heads.union(tokens(spark, d).select("w")).distinct()
-
-
-@query("SELECT c_custkey, 'tr' AS lang_code, 'TDK Akademik Terim (TDK Terim Sözlüğü)' AS lang_name, c_name AS word, 'anlam ' || c_custkey AS meaning, 'Latin' AS script FROM customer")
-def parse_terms(spark, d):
-    """Term pages made of customers, parsed as a source's JSON."""
-    body = F.to_json(F.array(F.struct(F.col("c_name").alias("sozcuk"), F.concat(F.lit("anlam "), "c_custkey").alias("anlam"))))
-    made = read(spark, d, "customer").select("c_custkey", F.inline(parsers.terms(F.lower("c_name"), body)))
-    return made
-
-
-@query()
-def parse_pages(spark, d):
-    """Every raw page, parsed as a page of each source of HTML."""
-    html = read(spark, d, "pages")
-    kinds = F.explode(W.strings(["encyclopaedia", "journals", "ottoman", "portal", "etymological", "word_page"])).alias("source_id")
-    found = parsers.parse(html.select(kinds, F.col("url").alias("headword"), F.col("html").alias("body")))
-    return found.withColumn("entries", F.to_json("entries"))
-
-
-@query()
-def prove_native(spark, d):
-    words = _heads(spark, d)
-    found = words.join(lexicon.probe_roots(words, spark), "query_word", "left").withColumn("meaning", W.translate_meaning(F.col("root_meaning")))
-    return H.native(found, spark)
-
-
-@query()
-def prove_unattested(spark, d):
-    return H.unattested(_heads(spark, d))
-
-
-@query()
-def search_offline(spark, d):
-    """The headwords of the dictionaries and all document words, searched together."""
-    found = search(_heads(spark, d), spark)
-    return found.withColumns({c: F.to_json(c) for c in ("entries", "hypothesis", "unattested", "probabilities", "reconstruction", "donor_match", "alignment", "drift", "induced_laws", "graph")} | {c: F.array_join(c, " | ") for c in ("timeline", "cognates", "sources")})
-
-
-@query()
-def findings_json(spark, d):
-    return finding_json(search(lexicon.entries(spark).select(F.col("headword").alias("query_word")), spark))
-
-
-@query()
-def synthesis(spark, d):
-    return R.synthesis(search(lexicon.entries(spark).select(F.col("headword").alias("query_word")), spark))
-
-
 _SCRIPT = "coalesce(script, CASE WHEN regexp_matches(word, '[Ѐ-ӿ]') THEN 'Cyrillic' WHEN regexp_matches(word, '[؀-ۿ]') THEN 'Arabic' WHEN regexp_matches(word, '[Ͱ-Ͽ]') THEN 'Greek' ELSE 'Latin' END)"
 
 
@@ -588,9 +535,7 @@ def to_latin(spark, d):
 _SENSES = ["{{lb|x}} [[Water]] and ", "a [[sea]] / ocean ", "Online ", " [[plain]] ", "{{gloss}} the soul of "]
 
 
-@query(rf"""WITH m AS (SELECT c_custkey, {listed(_SENSES)}[1 + c_custkey % {len(_SENSES)}] || c_name AS x FROM customer),
-b AS (SELECT c_custkey, trim(x) AS m, trim(regexp_replace(trim(regexp_replace(trim(x), '\{{\{{.*?\}}\}}', '', 'g')), '\[\[(.*?)\]\]', '\1', 'g')) AS b FROM m)
-SELECT c_custkey, CASE WHEN m = '' OR starts_with(m, 'Online') THEN m {' '.join(f"WHEN contains(lower(b), {q(k)}) THEN {q(v)}" for k, v in S.MEANINGS)} WHEN b <> '' THEN b ELSE m END AS meaning FROM b""")
+@query(f"WITH m AS (SELECT c_custkey, {listed(_SENSES)}[1 + c_custkey % {len(_SENSES)}] || c_name AS x FROM customer) SELECT c_custkey, {translated('x')} AS meaning FROM m")
 def meaning_translate(spark, d):
     sense = F.element_at(W.strings(_SENSES), (F.col("c_custkey") % len(_SENSES) + 1).cast("int"))
     return read(spark, d, "customer").select("c_custkey", W.translate_meaning(F.concat(sense, F.col("c_name"))).alias("meaning"))

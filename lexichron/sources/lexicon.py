@@ -32,6 +32,8 @@ COGNATES = {
         "otk": ("teŋiz", "deniz, büyük göl"), "tr": ("deniz", "büyük su kütlesi, deniz"), "az": ("dəniz", "deniz"), "kk": ("теңіз (teŋiz)", "deniz"), "uz": ("dengiz", "deniz"), "tk": ("deňiz", "deniz"),
         "ky": ("деңиз (deŋiz)", "deniz"), "tt": ("тиңез (tiŋez)", "deniz"), "ug": ("دەڭىز (deŋiz)", "deniz"), "cv": ("тинӗс (tinĕs)", "deniz"), "sah": ("тиңис (tiŋis)", "deniz")}),
 }
+# Names and notes of donor entries.
+DONOR_ENTRY, DONOR_NOTE = "Kaynak Dil Etimolojisi ({})", "[{}] Orijinal İmla: {} | Kaynak Anlam: {} | Kendi İçi Etimoloji: {} | Geçiş Yörüngesi: {}"
 COGNATE_PRIORITY, NATIONAL_PRIORITY = 14, 9
 # National dictionaries and their rows (headword: code, word, meaning).
 NATIONAL_NAMES = {
@@ -44,6 +46,8 @@ NATIONAL = {
     "kut": [("az", "qut", "Bərəkət, səadət, bəxt"), ("uz", "qut", "Qut, baraka, omad"), ("kk", "құт", "Құт, береке, ырыс"), ("ky", "кут", "Кут, ырыс, жан"), ("tt", "кот", "Кот, бәхет, җан")],
 }
 #: Each dictionary's place in the order in which sources are believed.
+#: Sources whose pages are parsed stand among them.
+PARSED = {"books": 4, "journals": 5, "ottoman": 6, "terms": 7, "dialects": 7, "names": 7, "translations": 8, "portal": 13, "etymological": 15, "general": 16, "historical_scan": 17, "compilation": 18, "word_page": 19, "reconstruction": 19, "definitions": 21, "encyclopaedia": 3}
 PRIORITIES = {"academic": 1, "historical": 2, "encyclopaedia": 3, "ottoman": 6, "national": NATIONAL_PRIORITY, "donors": 10, "books": 11, "notes": 12, "cognates": COGNATE_PRIORITY}
 ENTRY = "headword string, source string, priority int, ordinal int, lang_code string, lang_name string, word string, meaning string, script string"
 ROOT = "headword string, source string, priority int, proto string, meaning string, notes string"
@@ -68,7 +72,7 @@ def entry_rows() -> list[tuple]:
     for h, own in NATIONAL.items():
         add("national", h, [(c, NATIONAL_NAMES[c], w, m, None) for c, w, m in own])
     for h, (lang, w, m, inner, _) in D.DONORS.items():
-        add("donors", h, [("donor", f"Kaynak Dil Etimolojisi ({lang})", w, f"Kaynak Anlamı: {m} | Kendi İçi Türeyiş: {inner}", None)])
+        add("donors", h, [("donor", DONOR_ENTRY.format(lang), w, f"Kaynak Anlamı: {m} | Kendi İçi Türeyiş: {inner}", None)])
     for h, own in D.BOOKS.items():
         add("books", h, [("otk", f"Yerel PDF Kitap Taraması (Sayfa {page})", h, f"Kitap: {book} | Metin: {text}", "Latin") for book, page, text in own])
     for h, own in D.NOTES.items():
@@ -83,7 +87,7 @@ def root_rows() -> list[tuple]:
     rows = [("academic", h, p, m, n) for h, (p, m, n, _) in D.ACADEMIC.items()]
     rows += [("encyclopaedia", h, "", "", text) for h, text in D.ENCYCLOPAEDIA.items()]
     rows += [("ottoman", h, "", "", f"Osmanlıca Lügat Kaydı: {m}") for h, (_, m) in D.OTTOMAN.items()]
-    rows += [("donors", h, "", "", f"[{lang}] Orijinal İmla: {w} | Kaynak Anlam: {m} | Kendi İçi Etimoloji: {inner} | Geçiş Yörüngesi: {way}") for h, (lang, w, m, inner, way) in D.DONORS.items()]
+    rows += [("donors", h, "", "", DONOR_NOTE.format(lang, w, m, inner, way)) for h, (lang, w, m, inner, way) in D.DONORS.items()]
     rows += [("books", h, "", "", f"Metin İçi Kitap Kaydı: {own[-1][0]} (s. {own[-1][1]})") for h, own in D.BOOKS.items()]
     rows += [("notes", h, "", "", " | ".join(own)) for h, own in D.NOTES.items()]
     rows += [("cognates", h, p, m, f"Starling / Tower of Babel Proto-Turkic reconstruction {p}") for h, (p, m, _) in COGNATES.items()]
@@ -99,10 +103,14 @@ def roots(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(root_rows(), ROOT)
 
 
-def donors(spark: SparkSession) -> DataFrame:
+def donor_rows() -> list[tuple]:
     """(headword, donor_language, origin_form, etymology, donor_meaning) of known loanwords."""
-    rows = [(h, lang, w, inner, f"Kaynak Anlamı: {m} | Geçiş Yörüngesi: {way}") for h, (lang, w, m, inner, way) in D.DONORS.items()]
-    return spark.createDataFrame(rows, "headword string, donor_language string, origin_form string, etymology string, donor_meaning string")
+    return [(h, lang, w, inner, f"Kaynak Anlamı: {m} | Geçiş Yörüngesi: {way}") for h, (lang, w, m, inner, way) in D.DONORS.items()]
+
+
+def donors(spark: SparkSession) -> DataFrame:
+    """The rows of :func:`donor_rows`."""
+    return spark.createDataFrame(donor_rows(), "headword string, donor_language string, origin_form string, etymology string, donor_meaning string")
 
 
 def asked(words: DataFrame) -> DataFrame:
@@ -116,8 +124,17 @@ def probe(words: DataFrame, spark: SparkSession) -> DataFrame:
     return asked(words).join(F.broadcast(entries(spark)), "headword").drop("headword")
 
 
-def probe_roots(words: DataFrame, spark: SparkSession) -> DataFrame:
+def met_roots(words: DataFrame, spark: SparkSession) -> DataFrame:
+    """(query_word, variant, priority, proto, meaning) of all roots whose headword is a variant of a ``query_word``."""
+    return asked(words).join(F.broadcast(roots(spark)), "headword").select("query_word", "variant", "priority", "proto", "meaning")
+
+
+def first_roots(met: DataFrame) -> DataFrame:
     """(query_word, proto, root_meaning): the first that isn't empty, by source and then by variant."""
-    met = asked(words).join(F.broadcast(roots(spark)), "headword").withColumn("order", F.struct("priority", "variant"))
+    ordered = met.withColumn("order", F.struct("priority", "variant"))
     first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("order")))
-    return met.groupBy("query_word").agg(first("proto").alias("proto"), first("meaning").alias("root_meaning"))
+    return ordered.groupBy("query_word").agg(first("proto").alias("proto"), first("meaning").alias("root_meaning"))
+
+
+def probe_roots(words: DataFrame, spark: SparkSession) -> DataFrame:
+    return first_roots(met_roots(words, spark))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexichron.functions import words as W
 from lexichron.functions.alignment import align
 from lexichron.operators import relational as R
-from lexichron.plans import registry
+from lexichron.plans import findings, registry, snapshots  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -131,6 +131,45 @@ def test_search_analyses(spark):
     assert "proto_[Arapça] كتاب (kitāb)" in {n["node_id"] for n in got["kitap"]["graph"]["nodes"]}
 
 
+def test_search_with_pages(spark):
+    from lexichron.plans.search import search
+
+    words = spark.createDataFrame([("su",), ("qqq",)], "query_word string")
+    pages = [("terms", "qqq", '[{"sozcuk":"qqq","anlam":"salt"}]'), ("word_page", "qqq", "{{inh|tr|trk-pro|*kuk|t=salt}}\n==Eski==\n# [[tuz]]\n"), ("portal", "qqq", "<p>nothing</p>"), ("terms", "su", '[{"sozcuk":"su","anlam":"H2O"}]')]
+    got = {r.query_word: r for r in search(words, spark, spark.createDataFrame(pages, "source_id string, headword string, body string")).collect()}
+    assert got["qqq"].sources == ["terms", "word_page"] and got["qqq"].proto_root == "*kuk" and [e.lang_code for e in got["qqq"].entries] == ["otk", "tr"]
+    assert "terms" in got["su"].sources and got["su"].proto_root == "*sub" and not any(e.meaning == "H2O" for e in got["su"].entries)  # an earlier source tells this word
+
+
+def test_bulk_and_store(spark, tmp_path):
+    from lexichron.plans.search import bulk
+    from lexichron.sources import store
+
+    (tmp_path / "words.txt").write_text("su\n\n  göz \nsu\n", encoding="utf-8")
+    folder = str(tmp_path / "store")
+    bulk(spark, str(tmp_path / "words.txt"), folder)
+    bulk(spark, str(tmp_path / "words.txt"), folder)
+    rows = store.listing(spark, folder).collect()
+    assert sorted(r.query_word for r in rows) == ["göz", "su"] and store.count(spark, folder).first()[0] == 2
+    found = json.loads(store.get(spark, folder, " SU ").first().full_finding_json)
+    assert found["proto_root"] == "*sub" and store.get(spark, folder, "yok").isEmpty()
+    n = store.entries(spark, folder).where("query_word = 'su'").count()
+    assert n == len(found["entries"]) > 5
+    store.compact(spark, folder, str(tmp_path / "small"))
+    assert store.entries(spark, str(tmp_path / "small")).where("query_word = 'su'").count() == n and store.get(spark, str(tmp_path / "small"), "göz").count() == 1
+    plan = store.get(spark, folder, "su")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(query_word,su)" in plan
+
+
+def test_enriched(spark):
+    from lexichron.sources import parsers as P
+
+    hits = spark.createDataFrame([("su", [(f"http://x/{i}", "t", f"s{i}") for i in range(7)] + [("ftp://y", "t", "late")])], "headword string, hits array<struct<url:string,title:string,snippet:string>>")
+    pages = spark.createDataFrame([("http://x/0", "<p>" + "uzun metin " * 5 + "</p>"), ("http://x/1", ""), ("ftp://y", "<p>no</p>")], "url string, html string")
+    got = {r.place: r.content_summary for r in P.enriched(hits, pages).collect()}
+    assert got[0].startswith("uzun metin") and [got[i] for i in (1, 2, 3, 4)] == ["s1", "s2", "s3", "s4"] and len(got) == 5
+
+
 def test_hypotheses(spark):
     from lexichron.operators import hypotheses as H
 
