@@ -34,8 +34,10 @@ def rank_of(code: Column) -> Column:
 
 
 def spread_by_word(entries: DataFrame) -> DataFrame:
-    n = entries.groupBy("query_word").agg(F.countDistinct(F.nullif("lang_name", F.lit(""))).alias("languages"))
-    return n.select("query_word", "languages", W.spread(F.col("languages")).alias("s")).select("query_word", "languages", "s.*")
+    """(query_word, languages, codes, ratio, score, assessment): the spread goes by names of languages; ``codes`` counts languages themselves."""
+    name, code = (F.nullif(c, F.lit("")) for c in ("lang_name", "lang_code"))
+    n = entries.groupBy("query_word").agg(F.countDistinct(name).alias("languages"), F.size(F.collect_set(code)).cast("long").alias("codes"))
+    return n.select("query_word", "languages", "codes", W.spread(F.col("languages")).alias("s")).select("query_word", "languages", "codes", "s.*")
 
 
 def gram_weights(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -368,8 +368,8 @@ def merge_dedupe(spark, d):
     return R.merge_entries(entries(spark, d))
 
 
-@query(f"""WITH {_ENTRIES}, n AS (SELECT query_word, count(DISTINCT nullif(lang_name, '')) AS languages FROM e GROUP BY 1), r AS (SELECT *, floor(languages / 25.0::DOUBLE * 100 + 0.5) / 100.0::DOUBLE AS x FROM n)
-SELECT query_word, languages, least(x, 1.0)::DOUBLE AS ratio, floor((85.0::DOUBLE + least(x * 15.0::DOUBLE, 15.0::DOUBLE)) * 10 + 0.5) / 10.0::DOUBLE AS score, CASE WHEN x >= 0.6 THEN {q(S.SPREADS[0][1])} WHEN x >= 0.25 THEN {q(S.SPREADS[1][1])} ELSE {q(S.SPREADS[2][1])} END AS assessment FROM r""")
+@query(f"""WITH {_ENTRIES}, n AS (SELECT query_word, count(DISTINCT nullif(lang_name, '')) AS languages, count(DISTINCT nullif(lang_code, '')) AS codes FROM e GROUP BY 1), r AS (SELECT *, floor(languages / 25.0::DOUBLE * 100 + 0.5) / 100.0::DOUBLE AS x FROM n)
+SELECT query_word, languages, codes, least(x, 1.0)::DOUBLE AS ratio, floor((85.0::DOUBLE + least(x * 15.0::DOUBLE, 15.0::DOUBLE)) * 10 + 0.5) / 10.0::DOUBLE AS score, CASE WHEN x >= 0.6 THEN {q(S.SPREADS[0][1])} WHEN x >= 0.25 THEN {q(S.SPREADS[1][1])} ELSE {q(S.SPREADS[2][1])} END AS assessment FROM r""")
 def spread(spark, d):
     return R.spread_by_word(entries(spark, d))
 
