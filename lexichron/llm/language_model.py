@@ -71,6 +71,18 @@ def offsets(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place where each comes first, and each element's key; in less memory than numpy's own takes."""
+    order = np.argsort(x, kind="stable")
+    keys = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys, first = keys[new], order[new].astype(np.int32)
+    which = np.empty(len(x), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys, first, which
+
+
 def _with_ends(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = counts + 1
     tokens = np.full(int(n.sum()), END, np.uint64)
@@ -95,7 +107,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         return number, mark - (1 << 63), ids, np.array(held, bool), tokens, n
 
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1 << 20):
             found.append(_with_ends(*word_hashes(part.column("text"))))
             ids += part.column("doc_id").to_pylist()
             held += part.column("held_out").to_pylist()
@@ -114,11 +126,11 @@ def _borders(parts: int) -> np.ndarray:
 def _ask(parts: int, order: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, mark, _, held, tokens, n in _blocks(batches, size):
-            learnt, place = np.repeat(~held, n), offsets(n)
+            learnt, place = np.repeat(~held, n), offsets(n).astype(np.int32)
             sizes, packed, counted = np.zeros((order, parts), np.int64), [], []
             for m, x in enumerate(grams(tokens, n, order), 1):
-                there = place >= m - 2
-                keys, which = np.unique(x[there], return_inverse=True)
+                there = slice(None) if m < 3 else np.flatnonzero(place >= m - 2)
+                keys, _, which = distinct(x[there])
                 counts = np.bincount(which[learnt[there]], minlength=len(keys))
                 at = np.append(np.searchsorted(keys, _borders(parts)), len(keys))
                 sizes[m - 1] = np.diff(at)
@@ -174,7 +186,8 @@ def _answer(group: pa.Table) -> pa.Table:
     out: list[list[bytes]] = [[] for _ in sizes]
     for m in range(len(sizes[0])):
         flat = np.concatenate([unpack_sorted(b[m], s[m]) for b, s in zip(blobs, sizes, strict=True)])
-        keys, which = np.unique(flat, return_inverse=True)
+        keys, _, which = distinct(flat)
+        del flat
         total = np.zeros(len(keys), np.int64)
         stops = np.cumsum([s[m] for s in sizes])
         places = [which[b - s[m] : b] for b, s in zip(stops, sizes, strict=True)]
@@ -212,46 +225,47 @@ class Automaton:
     after a context of d words, whether or not it was seen."""
 
     def __init__(self, tokens: np.ndarray, n: np.ndarray, counts, total: int, types: int, texts: int, order: int = ORDER, mu: float = MU):
-        place = offsets(n)
         start = np.cumsum(n) - n
-        depth, fail_to, context = [np.array([0, 1])], [np.array([0, 0])], [np.array([0.0, texts])]
-        seen, weight, to = [np.array([False])], [np.zeros(1)], [np.zeros(1, np.int64)]  # arc 0 is none
+        depth, fail_to, fail_weight = [np.array([0, 1], np.int8)], [np.zeros(2, np.int32)], [np.array([0.0, np.log10(mu / (texts + mu))])]
+        seen, weight, to = [np.array([False])], [np.zeros(1)], [np.zeros(1, np.int32)]  # arc 0 is none
         self.arc_at = np.zeros((order, len(tokens)), np.int32)
-        state_of = np.zeros(len(tokens), np.int64)  # the state of the context one word shorter that ends at each token
-        before = np.zeros(len(tokens))  # count of the context before each token
-        prob = np.zeros(len(tokens))  # probability in the order below
+        state_of = np.zeros(len(tokens), np.int32)  # the state of the context one word shorter that ends at each token
+        before = prob = np.zeros(0)  # before each token the count of its context; its probability in the order below
         arcs, states = 1, 2
         for m, x in enumerate(grams(tokens, n, order), 1):
-            there = np.flatnonzero(place >= m - 2)
-            keys, first, which = np.unique(x[there], return_index=True, return_inverse=True)
-            c, first = counts(m, keys).astype(float), there[first]
+            there = slice(None) if m < 3 else np.flatnonzero(offsets(n) >= m - 2)
+            keys, first, which = distinct(x[there])
+            if m > 2:
+                first = there[first]
+            c, own = counts(m, keys), len(keys)
+            del x, keys
             p = (c + 1) / (total + types + 1) if m == 1 else (c + mu * prob[first]) / (before[first] + mu)
-            seen.append(c > 0 if m > 1 else np.ones(len(keys), bool))
+            suffix = state_of[first]
+            seen.append(c > 0 if m > 1 else np.ones(own, bool))
             weight.append(np.log10(p))
             self.arc_at[m - 1, there] = arcs + which
-            suffix = state_of[first]
-            if m < order:  # the m-gram is a context itself
-                depth.append(np.full(len(keys), m))
-                fail_to.append(suffix)
-                context.append(c)
-                own = states + np.arange(len(keys))
-                to.append(np.where(c > 0, own, suffix))
-                # a context that training never saw is no state: what ends in it ends in the longest one that is
-                state_of[there] = to[-1][which]
-                states += len(keys)
-            else:
+            arcs += own
+            if m == order:
                 to.append(suffix)
+                break
+            # the m-gram is a context itself; one that training never saw is no state: what ends in it ends in the longest one that is
+            depth.append(np.full(own, m, np.int8))
+            fail_to.append(suffix)
+            fail_weight.append(np.log10(mu / (c + mu)))
+            to.append(np.where(c > 0, states + np.arange(own, dtype=np.int32), suffix))
+            states += own
+            state_of[there] = to[-1][which]
+            if m == 1:
+                prob = np.empty(len(tokens))
             prob[there] = p[which]
-            count_here = np.zeros(len(tokens))
-            count_here[there] = c[which]
+            here = np.zeros(len(tokens))
+            here[there] = c[which]
             before = np.zeros(len(tokens))
-            before[1:] = count_here[:-1]
+            before[1:] = here[:-1]
             if m == 1:
                 before[start] = texts
-            arcs += len(keys)
-        self.depth, self.fail_to = np.concatenate(depth), np.concatenate(fail_to)
-        self.fail_weight = np.log10(mu / (np.concatenate(context) + mu))
-        self.fail_weight[0] = 0.0
+            del here
+        self.depth, self.fail_to, self.fail_weight = np.concatenate(depth), np.concatenate(fail_to), np.concatenate(fail_weight)
         self.seen, self.weight, self.to = np.concatenate(seen), np.concatenate(weight), np.concatenate(to)
         self.n, self.order = n, order
 
