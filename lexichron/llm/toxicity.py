@@ -6,14 +6,14 @@ read. With the class prior p, losses l and a linear score f the risk is
     p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]),
 and where the second part falls below zero (more fitting of the unlabelled than the prior
 allows) a step undoes it instead. The prior is not given by labels either: of every set of texts the
-mixture holds at least p times the positives' share, so p is at most the ratio of the two. A first fit on
-four fifths of the sample, with the prior ``FIRST_PRIOR``, orders the other fifth, and the least
-ratio over the sets above its scores is the prior of the final fit on all of the sample. The score is
+mixture holds at least p times the positives' share, so p is at most the ratio of the two. Two fits, each on
+half of the sample and with the prior ``FIRST_PRIOR``, order the other half, and the least ratio over the sets above
+a score, each share moved by its standard error (chance makes the least of many too small), is the prior of the final fit. The score is
 then moved so that 0.5 lies where the same risk with zero-one loss is least.
 
 Features are letter runs of the lower-cased text and their prefixes of 4 to 6 letters (word
 stems), present or not; the ``FEATURES`` most significant of those that positives hold at least
-``RATIO`` times as often as the mixture are used. Fitting is bounded: ``SAMPLE`` positives and
+``RATIO`` times as often as the mixture are used, at ``LEAST_Z`` or more standard errors, since thousands are tried. Fitting is bounded: ``SAMPLE`` positives and
 ``SAMPLE`` unlabelled texts, the first in the order of a hash of doc_id. Scoring reads every
 whole text once, with the weights in the closure; nothing is shuffled."""
 
@@ -34,7 +34,7 @@ from ._tokens import pieces
 SAMPLE = 20_000
 FIRST_PRIOR = 0.2
 FEATURES = 4_096
-RATIO = 3.0
+RATIO, LEAST_Z = 3.0, 4.0
 PREFIXES = (4, 5, 6)
 _RUN = re.compile(r"[^\W\d_]+")
 CACHE = 300_000
@@ -108,24 +108,27 @@ def threshold(f: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> floa
 
 
 def class_prior(f: np.ndarray, p: np.ndarray, u: np.ndarray) -> float:
-    """The least ratio of shares, unlabelled to positive, above any score that at least half of the positives reach; ``p`` and ``u`` mark the rows."""
+    """The least ratio of shares, unlabelled to positive, above any score that at least half of the positives reach; ``p`` and ``u`` mark the rows.
+    Shares count with one standard error against the ratio."""
     order = np.argsort(-f, kind="stable")
     f, p, u = f[order], p[order], u[order]
     ends = np.append(np.flatnonzero(np.diff(f) < -1e-9), len(f) - 1)
-    of_p, of_u = np.cumsum(p)[ends], np.cumsum(u)[ends]
-    far = of_p >= 0.5 * of_p[-1]
-    ratio = ((of_u + 1) / (of_u[-1] + 1))[far] / (of_p / of_p[-1])[far]
-    return float(min(0.9, max(1e-4, ratio.min())))
+    n_p, n_u = p.sum(), u.sum()
+    of_p, of_u = np.cumsum(p)[ends] / n_p, np.cumsum(u)[ends] / n_u
+    far = of_p >= 0.5
+    of_p, of_u = of_p[far], of_u[far]
+    low, high = of_p - np.sqrt(of_p * (1 - of_p) / n_p), of_u + np.sqrt(of_u * (1 - of_u) / n_u)
+    return float(min(0.9, max(1 / n_u, (high / np.maximum(low, 1e-9)).min())))
 
 
 def first_then_final(rows: list[tuple[bool, bool, list[int]]], n_features: int) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and the prior that they were fitted with."""
-    back = [r for i, r in enumerate(rows) if i % 5 == 4]
-    prior = FIRST_PRIOR
-    if any(r[0] for r in back) and any(r[1] for r in back):
-        weights, bias = fit_nnpu([r for i, r in enumerate(rows) if i % 5 < 4], n_features, FIRST_PRIOR)
-        f = np.array([weights[r[2]].sum() + bias for r in back])
-        prior = class_prior(f, np.array([r[0] for r in back], float), np.array([r[1] for r in back], float))
+    """Weights, bias and the prior that they were fitted with. Rows come in an order that says nothing of them."""
+    halves, f = (rows[::2], rows[1::2]), np.zeros(len(rows))
+    for k, own in enumerate(halves):
+        weights, bias = fit_nnpu(halves[1 - k], n_features, FIRST_PRIOR)
+        f[k::2] = [weights[r[2]].sum() + bias for r in own]
+    p, u = (np.array([r[c] for r in rows], float) for c in (0, 1))
+    prior = class_prior(f, p, u)
     return *fit_nnpu(rows, n_features, prior), prior
 
 
@@ -137,14 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     drawn = toxic.select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("unlabelled")).union(every.select("doc_id", F.lit(False), F.lit(True)))
     drawn = materialise(drawn.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")))  # at most 2 * sample rows
     # copies of one text count once: else the rare words of a text with many copies look toxic
-    texts = materialise(only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("text").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")))
+    # and of rows with one doc_id one does, so that the sample stays bounded
+    met = only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
+    texts = materialise(met.groupBy("text").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled")))
     n_p, n_u = (x or 0 for x in texts.agg(F.sum(F.col("positive").cast("int")), F.sum(F.col("unlabelled").cast("int"))).first())
     if not n_p or not n_u:
         return {}, -4.0
     counts = texts.mapInArrow(_count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     a, b, mean = F.col("p") / n_p, F.col("u") / n_u, (F.col("p") + F.col("u")) / (n_p + n_u)
     z = (a - b) / F.sqrt(mean * (1.0000001 - mean) * (1 / n_p + 1 / n_u))
-    chosen = counts.where((F.col("p") >= 3) & (a >= RATIO * b)).select("feature", z.alias("z")).where("z >= 2.5").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    chosen = counts.where((F.col("p") >= 3) & (a >= RATIO * b)).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     place = {r.feature: i for i, r in enumerate(chosen)}
     if not place:
         return {}, -4.0
