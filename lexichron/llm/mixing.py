@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise, table
+from ._common import WORD, fresh, materialise, table
 
 SHARE, EPOCHS, SEED = 1.5, 2, 17
 WEIGHTS = (5, 2, 1)
@@ -41,14 +41,20 @@ def targets(bars: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights
     return levels.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+RESULT = ("mix_size", "mix_source_size", "mix_target", "mix_taken")
+
+
 def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs`` in all its columns, with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_taken``.
+    """Every row of ``docs`` in all its columns, with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_taken``; columns of these names in ``docs`` are replaced.
 
     A null text has size 0 and is never taken; null sources are a source of their own; repeated
     rows are documents of their own; a null doc_id is ordered as ''. The same input gives the same mix."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.withColumn("mix_size", words(F.col("text"))).withColumn("mix_order", order).withColumn("mix_bucket", F.substring("mix_order", 1, 3))
-    bars = materialise(sized.groupBy("source", F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("size")))
+    kept = [c for c in docs.columns if c not in RESULT]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))  # so that no column of the caller can clash
+    doc_id, source = F.col("row.doc_id"), F.col("row.source")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    sized = packed.withColumn("size", words(F.col("row.text"))).withColumn("order", order).withColumn("bucket", F.substring("order", 1, 4))
+    bars = materialise(sized.groupBy(source.alias("source"), "bucket").agg(F.sum("size").alias("size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets(bars, share, epochs, weights).withColumn("whole", whole)
     plan = plan.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long"))
@@ -57,22 +63,24 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tu
     # the bucket in which the rest ends: the last one that starts below it
     plan = materialise(reached.groupBy("source", "source_size", "target", "whole", "rest").agg(F.max(F.when(F.col("before") < F.col("rest"), F.struct("bucket", "before"))).alias("end")))
     few = plan.count() <= BROADCAST_SOURCES
-    plan = plan.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("rest").alias("mix_rest"), F.col("end.bucket").alias("mix_end"), F.col("end.before").alias("mix_before"))
-    met = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("mix_source")))
-    whole = F.col("mix_whole") * F.col("mix_size")
-    clear = met.where("mix_end is null or mix_bucket <> mix_end").withColumn("mix_taken", whole + F.when(F.col("mix_bucket") < F.col("mix_end"), F.col("mix_size")).otherwise(0))
-    ranked = Window.partitionBy("mix_source", "mix_end").orderBy("mix_order", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("mix_rest") - F.col("mix_before") - F.coalesce(F.sum("mix_size").over(ranked), F.lit(0))
-    last = met.where("mix_bucket = mix_end").withColumn("mix_taken", whole + F.greatest(F.lit(0), F.least(F.col("mix_size"), left)))
-    return clear.union(last).drop("mix_order", "mix_bucket", "mix_source", "mix_whole", "mix_rest", "mix_end", "mix_before")
+    plan = plan.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest", F.col("end.bucket").alias("end"), F.col("end.before").alias("before"))
+    met = sized.join(F.broadcast(plan) if few else plan, source.eqNullSafe(F.col("of")))
+    whole = F.col("whole") * F.col("size")
+    clear = met.where(F.col("end").isNull() | (F.col("bucket") != F.col("end"))).withColumn("taken", whole + F.when(F.col("bucket") < F.col("end"), F.col("size")).otherwise(0))
+    ranked = Window.partitionBy("of", "end").orderBy("order", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(ranked), F.lit(0))
+    last = met.where(F.col("bucket") == F.col("end")).withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    out = [F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken")]
+    return clear.union(last).select(*[F.col(f"row.`{c}`") for c in kept], *out)
 
 
 def mixed_documents(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """The mix as rows of ``docs``: each document as often as it is taken, the one taken in part if half of it or more is. Texts stay whole."""
-    mixed = mix(docs, share, epochs)
+    names = {c: fresh(docs, c) if c in RESULT else c for c in docs.columns}
+    mixed = mix(docs.withColumnsRenamed(names), share, epochs)
     times = F.when(F.col("mix_size") > 0, F.floor((2 * F.col("mix_taken") + F.col("mix_size")) / (2 * F.col("mix_size")))).otherwise(0).cast("int")
-    repeated = mixed.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.explode(F.sequence(F.lit(1), times)).alias(fresh(docs, "copy"))
+    return mixed.where(times > 0).select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()], copies).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
