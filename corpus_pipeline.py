@@ -23,23 +23,28 @@ SHARD_BYTES = 64 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows whose text scores as toxic. Null and empty texts, null or repeated ids stay; each row is judged by its own text."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates stays, the one with the least doc_id; rows without words all stay; null and repeated ids are rows of their own."""
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows whose own text holds a benchmark item; with no items, or texts without words, nothing goes."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), k=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats rows as often as the mix takes them, or not at all. Rows without words have nothing to take and go; null sources are a source."""
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sharded = kd_shards(docs, target_bytes=SHARD_BYTES)
+    """Adds ``shard`` and ``shard_size``; columns of these names in ``docs`` are replaced. An empty table has no shards."""
+    sharded = kd_shards(docs.drop("shard", "shard_size"), target_bytes=SHARD_BYTES)
     return sharded.drop("kd_crc32").withColumnsRenamed({"kd_size": "shard_size", "kd_shard": "shard"})
 
 

@@ -86,7 +86,7 @@ def _explode(least: int):
 def drop_shared_lines(docs: DataFrame, threshold: int = 10, least: int = 1, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_dropped) for every row of ``docs`` (doc_id, text).
 
-    Every row is a document, also where rows or ids repeat. A null or empty text is one empty
+    Every row is a document, also where rows or ids repeat or are null. A null or empty text is one empty
     line. Keys shorter than ``least`` code points never count and their lines stay."""
     rows = only(docs, "doc_id", "text")
     counted = rows.mapInArrow(_count(least), "line long, n long").groupBy("line").agg(F.sum("n").alias("n"))

@@ -229,11 +229,13 @@ def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.3, sample: int
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have the inputs 0 and are scored like any other. Without labels of both
-    classes every score is 0.5. A null doc_id is held out."""
+    classes every score is 0.5. A null doc_id is held out. Rows that repeat are scored as often; of rows
+    with one doc_id one is learnt from. Texts of any length are read whole."""
     inputs = materialise(pooled(only(docs, "doc_id", "text")))
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
     drawn = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows
-    rows = inputs.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    met = inputs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("good").alias("good"))  # one row of a repeated id, so at most ``sample``
+    rows = met.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(len(rows), DIMS + 2)
     y = np.array([r.good for r in rows], float)
     net = fit_network(x, y) if 0 < y.sum() < len(y) else None

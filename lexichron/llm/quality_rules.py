@@ -117,7 +117,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     """Counts, base verdict, the first rule that rejects (null: none) and ``kept`` for every row of ``docs``.
 
     Null and empty texts have no words and fail the base rules. A null stratum is the stratum ''.
-    Label rows that repeat count once; labels other than 1 are no holdouts."""
+    Label rows that repeat count once; labels other than 1 are no holdouts; rows of one labelled doc_id are a holdout each.
+    A badness equal to the cutoff rejects."""
     measured = materialise(measures(docs, stratum))
     proved = cutoffs(measured, labels, risk, delta)
     spark = docs.sparkSession

@@ -57,7 +57,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url).
 
     A null url, or one without ``://``, has an empty host and path, no rule and the default verdict.
-    Of two rules of equal length the one of the longer host wins, then the later in code point order."""
+    Of two rules of equal length the one of the longer host wins, then the later in code point order. Rules that repeat
+    count once, rules without a host never fit, a null path is an empty one. Pages that repeat, or have no page_id, are judged
+    as often; without rules every page has the default verdict."""
     seg = materialise(segments(rules))
     stack_type = seg.schema["stack"].dataType
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

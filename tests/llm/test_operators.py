@@ -257,6 +257,46 @@ def test_heavy_text_is_dealt_by_id(spark):
     assert len(n) == 4 and max(n.values()) <= 110
 
 
+def test_mixing_with_many_sources_and_clashing_names(spark, docs, monkeypatch):
+    """The joined branch, which no broadcast helps, gives the same mix; columns with the names of results are replaced."""
+    df = docs[0].withColumns({"mix_size": F.lit("clash"), "taken": F.lit("own"), "row": F.lit(1)})
+    few = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    many = mixing.mix(df)
+    assert sorted(map(str, many.collect())) == few and {r.taken for r in many.collect()} == {"own"} and many.schema["mix_size"].dataType.simpleString() == "bigint"
+    assert sorted(map(str, mixing.mixed_documents(df).collect()))[0] and mixing.mixed_documents(df).columns == df.columns
+
+
+def test_odd_rows(spark):
+    """Repeated and null ids, repeated rows, a text of several megabytes, clashing names: every row comes back with its result."""
+    long = "\n".join(f"line {i % 40_000} of a very long text" for i in range(120_000))
+    texts = [(1, "same text here"), (1, "same text here"), (1, "another text"), (None, "same text here"), (None, None), (2, ""), (3, long), (4, long)]
+    df = spark.createDataFrame([(i, t, "en", None, "x", 7, "y") for i, t in texts], "doc_id long, text string, lang string, source string, score string, x int, family string").repartition(3)
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    rules = {r.n_words: r for r in quality_rules.measures(df).collect()}
+    assert rules[len(long.split())].n_dup_lines == 80_000 and len(quality_rules.quality_rules(df, labels).collect()) == 8
+    for made in (toxicity.toxicity(df, labels), quality_classifier.quality(df, labels)):
+        got = made.collect()
+        assert len(got) == 8 and all(0 <= r.score <= 1 for r in got) and all(r.held_out for r in got if r.doc_id is None)
+    lines = line_dedup.drop_shared_lines(df, threshold=2).collect()
+    assert len(lines) == 8 and {(r.n_lines, r.n_dropped) for r in lines if r.doc_id in (3, 4)} == {(120_000, 120_000)}
+    near = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df, 4).collect()}
+    assert {c for i, _, c in near if i in (3, 4)} == {3} and (None, 1, None) in near and (2, 0, 2) in near
+    shards = sharding.kd_shards(df, shards=2).collect()
+    assert len(shards) == 8 and sorted(Counter(r.kd_shard for r in shards if r.doc_id in (3, 4)).values()) == [1, 1]  # heavier than a shard: by id
+    assert len(mixing.mix(df).collect()) == 8
+
+
+def test_urls_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", "c"), (1, "http://a.com/en/x", "c"), (None, "http://b.org/es/", "c")], "page_id long, url string, rule string")
+    rules = url_filters.RULES + url_filters.RULES[:1] + [(None, "/", "block"), ("", "/", "block"), ("b.org", None, "block")]
+    rules = spark.createDataFrame([(*r, "extra") for r in rules], "host string, path string, verdict string, stack string")
+    got = url_filters.judge(pages, rules).collect()
+    assert sorted((r.page_id or 0, r.rule, r.verdict) for r in got) == [(0, "org/es/", "block"), (1, "com/en/", "block"), (1, "com/en/", "block")]
+    assert {(r.rule, r.verdict) for r in url_filters.judge(pages, rules.limit(0)).collect()} == {(None, "allow")}
+    assert url_filters.judge(pages.limit(0), rules).count() == 0
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://com/en/x", "https://A.Example.COM/en/7?q=/en/", "http://notexample.com/en/7", "http://x.example.net/de/85", "http://example.net/de/", "ftp://org/es/", "http://org", "http://a.org?x/es/", "://", "http://com./en/"] * 3
     got = {(r.page_id): r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4), spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")).collect()}
@@ -288,6 +328,39 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.quality_rules(empty, labels.limit(0)).count() == 0
 
 
+def test_cutoffs_are_proved_by_stratum(spark):
+    """Two strata with enough holdouts and one without: cutoffs, rejections and ties against an exact computation."""
+    rng = random.Random(12)
+    good = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(2, 6) + str(rng.randrange(999)) + "#" * (rng.random() < 0.01) for _ in range(55))
+    rows = [(i, good(), lang) for i, lang in enumerate(["a"] * 1100 + ["b"] * 1050 + ["c"] * 60)]
+    bad = [(5000 + i, " ".join(x.upper() + "##" for x in good().split()), lang) for i, lang in enumerate(["a", "b", "c"] * 40)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows + bad], "doc_id long, text string, lang string, stratum string, cut_symbols int").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows] * 2 + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    measured = quality_rules.measures(df).collect()
+    proved = quality_rules.cutoffs(quality_rules.measures(df), labels)
+    want = []
+    for lang in "ab":
+        own = [r for r in measured if r.stratum == lang and r.doc_id < 5000 and not r.base_failed]
+        for rule in quality_rules.RULES:
+            best = None
+            for c in quality_rules.GRID:
+                k, n = sum(r[f"bad_{rule}"] >= c for r in own), len(own)
+                tail = sum(math.comb(n, i) * 0.005**i * 0.995 ** (n - i) for i in range(k + 1))
+                if k >= n * 0.005 or tail > 0.05 / 8:
+                    break
+                best = c
+            if best is not None:
+                want.append((lang, rule, best, len(own)))
+    assert proved == want and {w[:2] for w in want} >= {("a", "symbols"), ("b", "symbols"), ("a", "shouting")}
+    cut = {(lang, rule): c for lang, rule, c, _ in want}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, labels).collect()}
+    for r in measured:
+        rule = next((x for x in quality_rules.RULES if r[f"bad_{x}"] >= cut.get((r.stratum, x), 10**9)), None)
+        assert (got[r.doc_id].rejected_by, got[r.doc_id].kept) == (rule, not r.base_failed and rule is None)
+    assert not any(got[i].kept for i, _, lang in bad if lang != "c") and all(got[i].kept for i, _, lang in bad if lang == "c")
+    assert sum(not got[i].kept for i, _, lang in rows) < 0.02 * len(rows)
+
+
 def test_bound_is_exact():
     for k, n in ((0, 600), (3, 900), (9, 1200)):
         tail = sum(math.comb(n, i) * 0.005**i * 0.995 ** (n - i) for i in range(k + 1))
