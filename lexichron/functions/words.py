@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -181,9 +182,18 @@ def variants(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(c), F.array_remove(candidates(c), c)))
 
 
+def matches(c: Column, pattern: str) -> Column:
+    """``rlike``, without a regular expression where the pattern is a letter or some letters, anywhere or at an end."""
+    simple = re.fullmatch(r"(\^?)(?:\[([\w]+)\]|(\w))(\$?)", pattern)
+    if not simple or (simple[1] and simple[4]):
+        return c.rlike(pattern)
+    own = list(simple[2] or simple[3])
+    return first_letter(c).isin(own) if simple[1] else F.right(c, F.lit(1)).isin(own) if simple[4] else holds(c, own)
+
+
 def laws(source: Column, target: Column) -> Column:
     """Names of the sound laws that lead from source to target, in order."""
-    return F.filter(F.array(*[F.when(source.rlike(s) & target.rlike(t), name) for name, s, t in S.LAWS]), F.isnotnull)
+    return F.filter(F.array(*[F.when(matches(source, s) & matches(target, t), name) for name, s, t in S.LAWS]), F.isnotnull)
 
 
 def laws_text(source: Column, target: Column) -> Column:
