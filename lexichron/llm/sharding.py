@@ -11,14 +11,16 @@ median, until it is a single coordinate.
 
 Equal texts lie on one point and stay in one shard, unless one text with its copies is larger than a
 shard: its rows are told apart by doc_id. Only the nodes' brackets and cuts (fewer than shards) come to
-the driver or are broadcast, for any number of shards alike."""
+the driver, and go to the tasks in the plan, for any number of shards alike."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, literal_table, materialise, table
+from ._common import WORD, materialise, table
 
 BINS = 4096
 #: Rows that one task numbers, about.
@@ -59,28 +61,33 @@ def _at(dim: Column) -> Column:
     return out
 
 
+def _by_node(values: dict[int, float], kind: str = "bigint") -> Column:
+    """The value of a row's node, null for others: an array that the optimizer folds into one literal, so rows aren't joined."""
+    listed = json.dumps([values.get(i) for i in range(max(values, default=0) + 1)])
+    return F.get(F.from_json(F.lit(listed), f"array<{kind}>"), F.col("node"))
+
+
 def _quantiles(points: DataFrame, brackets: dict[int, dict]) -> None:
     """Narrows each node's bracket (dim, lo, hi, goal, below, inside) to the one coordinate at which ``goal`` bytes are reached."""
-    spark = points.sparkSession
     while wide := {k: b for k, b in brackets.items() if b["hi"] > b["lo"]}:
-        rows = [(k, b["dim"], b["lo"], b["hi"], (b["hi"] - b["lo"]) // BINS + 1, b["below"], float(b["goal"])) for k, b in wide.items()]
-        asked = literal_table(spark, rows, "node int, dim int, lo long, hi long, step long, below long, goal double")
-        hit = points.join(F.broadcast(asked), "node").withColumn("x", _at(F.col("dim"))).where("x between lo and hi")
-        bars = hit.groupBy("node", "below", "goal", F.expr("(x - lo) div step").alias("bin")).agg(F.sum("size").alias("inside"))
-        upto = F.sum("inside").over(Window.partitionBy("node").orderBy("bin")) + F.col("below")
-        best = bars.withColumn("upto", upto).where("upto >= goal").groupBy("node").agg(F.min(F.struct("bin", "upto", "inside")).alias("b"))
+        dim, lo, hi, below = (_by_node({k: b[c] for k, b in wide.items()}) for c in ("dim", "lo", "hi", "below"))
+        step = _by_node({k: (b["hi"] - b["lo"]) // BINS + 1 for k, b in wide.items()})
+        goal = _by_node({k: float(b["goal"]) for k, b in wide.items()}, "double")
+        hit = points.withColumn("x", _at(dim)).where((F.col("x") >= lo) & (F.col("x") <= hi)).withColumns({"off": F.col("x") - lo, "step": step})
+        bars = hit.groupBy("node", F.expr("off div step").alias("bin")).agg(F.sum("size").alias("inside"))
+        upto = F.sum("inside").over(Window.partitionBy("node").orderBy("bin")) + below
+        best = bars.withColumn("upto", upto).where(F.col("upto") >= goal).groupBy("node").agg(F.min(F.struct("bin", "upto", "inside")).alias("b"))
         for r in best.select("node", "b.*").collect():  # a row for each node
             b = brackets[r["node"]]
-            step = (b["hi"] - b["lo"]) // BINS + 1
-            b["lo"] += r["bin"] * step
-            b |= {"hi": min(b["hi"], b["lo"] + step - 1), "below": r["upto"] - r["inside"], "inside": r["inside"]}
+            step_of = (b["hi"] - b["lo"]) // BINS + 1
+            b["lo"] += r["bin"] * step_of
+            b |= {"hi": min(b["hi"], b["lo"] + step_of - 1), "below": r["upto"] - r["inside"], "inside": r["inside"]}
 
 
 def _descend(rows: DataFrame, cuts: list[tuple[int, int, int, int]]) -> DataFrame:
     """Rows one level further down. cuts: (node, dim, cut, left) where ``left`` shards are on the left side; the right side's node is node + left."""
-    cut = F.broadcast(literal_table(rows.sparkSession, cuts, "node int, dim int, cut long, left int"))  # fewer rows than shards
-    down = F.when(_at(F.col("dim")) > F.col("cut"), F.col("node") + F.col("left")).otherwise(F.col("node"))
-    return rows.join(cut, "node", "left").withColumn("node", down).drop("dim", "cut", "left")
+    dim, cut, left = (_by_node({x[0]: x[i] for x in cuts}) for i in (1, 2, 3))
+    return rows.withColumn("node", F.when(_at(dim) > cut, F.col("node") + left).otherwise(F.col("node")).cast("int"))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 1 << 30) -> DataFrame:
@@ -102,8 +109,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int = 1
     value = lambda r, d: (r[f"high_{d}"] >> 32) - (r[f"low_{d}"] >> 32)
     parts, levels, whole = {0: shards}, [], None
     while open_ := {k: n for k, n in parts.items() if n > 1}:
-        asked = F.broadcast(literal_table(points.sparkSession, [(k,) for k in open_], "node int"))
-        found = points.join(asked, "node").groupBy("node").agg(F.sum("size").alias("total"), *ends).collect()  # a row for each node
+        found = points.where(_by_node(open_).isNotNull()).groupBy("node").agg(F.sum("size").alias("total"), *ends).collect()  # a row for each node
         whole = whole or {d: max(1, *(value(r, d) for r in found)) for d in DIMENSIONS} if found else None
         brackets = {}
         for r in found:
