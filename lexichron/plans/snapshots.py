@@ -46,8 +46,10 @@ def _filled(template):
 
 
 def _parsed(spark, d):
+    """The pages of each customer, parsed. The customers are dealt out first: a file of few MB is one task's, and makes many times its size of pages."""
     bodies = F.explode(F.array(*[F.struct(F.lit(k).alias("source_id"), _filled(F.lit(b)).alias("body")) for k, (b, _) in MADE.items()])).alias("s")
-    made = read(spark, d, "customer").select(F.lower("c_name").alias("headword"), bodies).select("headword", "s.*")
+    dealt = read(spark, d, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism)
+    made = dealt.select(F.lower("c_name").alias("headword"), bodies).select("headword", "s.*")
     return P.parse(made)
 
 
@@ -58,7 +60,8 @@ _ROWS = ", ".join("(" + ", ".join(map(q, (k, i, *e))) + ")" for k, (_, own) in M
 @query(f"WITH v(source_id, position, lang_code, lang_name, word, meaning) AS (VALUES {_ROWS}) SELECT lower(c_name) AS headword, source_id, position, lang_code, lang_name, {_put('word')} AS word, {_put('meaning')} AS meaning, 'Latin' AS script FROM customer, v")
 def parse_entries(spark, d):
     """The entries of a page of each source for each customer."""
-    return _parsed(spark, d).select("headword", "source_id", F.posexplode("entries").alias("position", "e")).select("headword", "source_id", "position", "e.*")
+    each = F.posexplode_outer("entries").alias("position", "e")  # the inner kind makes Spark infer a filter that parses every page once more
+    return _parsed(spark, d).select("headword", "source_id", each).where("position is not null").select("headword", "source_id", "position", "e.*")
 
 
 _ROOT_ROWS = ", ".join("(" + ", ".join(map(q, (k, *ROOTS.get(k, ("", "", ""))))) + ")" for k in MADE)
